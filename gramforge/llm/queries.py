@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gramforge.llm.cooccurrence import cooccurrence, item_stats
+from gramforge.llm.contamination import leaked_spans, removal_spans
 from gramforge.llm.distinct_sketch import combinations, estimate, long_values, merge, sketch, week_start
+from gramforge.llm.language import MIXED_WORDS, document_languages, label_language, segments, train_from
 from gramforge.llm.records import ngram_records, terms_of
 from gramforge.llm.term_counts import TermCountStore, load_by_delivery
 from gramforge.session import materialize, shared_dir, table
@@ -63,6 +65,35 @@ def p6_combinations(spark: SparkSession, sf: str) -> DataFrame:
     return combinations(days, ["hit_date", "week_start", "site"], sets, ["measure"]).withColumn("estimate", F.round("estimate").cast("long"))
 
 
+def _leaks(spark: SparkSession, sf: str) -> DataFrame:
+    return leaked_spans(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _leaks(spark, sf).select("doc_id", "item_id").distinct()
+
+
+def p8_removal_spans(spark: SparkSession, sf: str) -> DataFrame:
+    return removal_spans(_leaks(spark, sf)).withColumn("items", F.concat_ws(",", "items"))
+
+
+def _segments(spark: SparkSession, sf: str) -> DataFrame:
+    documents = table(spark, sf, "documents")
+    return segments(documents, train_from(documents, table(spark, sf, "lang_samples")))
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    langs = document_languages(_segments(spark, sf)).where((F.col("rank") == 1) | (F.col("words") >= MIXED_WORDS))
+    labels = table(spark, sf, "documents").select("doc_id", label_language(F.col("lang")).alias("label"))
+    per_doc = langs.groupBy("doc_id").agg(F.max(F.when(F.col("rank") == 1, F.col("lang"))).alias("main"), F.collect_list("lang").alias("langs"))
+    wrong = ~F.col("label").eqNullSafe(F.col("main")) | (F.size("langs") > 1)
+    return per_doc.join(labels, "doc_id").where(wrong).select("doc_id", F.explode("langs").alias("lang"))
+
+
+def p9_segments(spark: SparkSession, sf: str) -> DataFrame:
+    return _segments(spark, sf).withColumn("confidence", F.round("confidence", 4))
+
+
 _RECORDS = """
 with r as (select fnum, line_no, any_value(ngram) as ngram, any_value(cnt) as cnt from ngram_files where ngram is not null and cnt is not null group by all),
 t as (select fnum, line_no, cnt, unnest(regexp_split_to_array(ngram, '[ \\t]+')) as term from r),
@@ -72,7 +103,7 @@ c as (select term, cast(sum(cnt * k) as bigint) as occurrences, count(*) as reco
 """
 _PAIRS = _RECORDS + ", p as (select a.term as term_a, b.term as term_b, count(*) as records, sum(a.cnt) as w from x a join x b on a.fnum = b.fnum and a.line_no = b.line_no and a.term < b.term group by all)"
 
-QUERIES = {"p1_found": p1_found, "p1_terms": p1_terms, "p4_found": p4_found, "p4_pairs": p4_pairs, "p6_found": p6_found, "p6_combinations": p6_combinations}
+QUERIES = {"p1_found": p1_found, "p1_terms": p1_terms, "p4_found": p4_found, "p4_pairs": p4_pairs, "p6_found": p6_found, "p6_combinations": p6_combinations, "p8_found": p8_found, "p8_removal_spans": p8_removal_spans, "p9_found": p9_found, "p9_segments": p9_segments}
 
 ORACLE = {
     "p1_found": _RECORDS + "select term, 'rare' as mark from c where occurrences < 200 union all select term, 'common' as mark from c, n where c.records * 20 > n.n",
