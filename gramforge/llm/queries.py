@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gramforge.llm.cooccurrence import cooccurrence, item_stats
 from gramforge.llm.contamination import leaked_spans, removal_spans
 from gramforge.llm.distinct_sketch import combinations, estimate, long_values, merge, sketch, week_start
+from gramforge.llm.encoding import damaged_rows, find_damage
 from gramforge.llm.language import MIXED_WORDS, document_languages, label_language, segments, train_from
 from gramforge.llm.packing import packed
 from gramforge.llm.records import ngram_records, terms_of
@@ -66,6 +67,16 @@ def p6_combinations(spark: SparkSession, sf: str) -> DataFrame:
     return combinations(days, ["hit_date", "week_start", "site"], sets, ["measure"]).withColumn("estimate", F.round("estimate").cast("long"))
 
 
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "ngram_files")
+    return damaged_rows(rows, find_damage(rows).tokens).select("row_id")
+
+
+def p5_restored(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "ngram_files")
+    return damaged_rows(rows, find_damage(rows).tokens)
+
+
 def p7_packed(spark: SparkSession, sf: str) -> DataFrame:
     return packed(table(spark, sf, "documents"), table(spark, sf, "containers"))
 
@@ -108,7 +119,7 @@ c as (select term, cast(sum(cnt * k) as bigint) as occurrences, count(*) as reco
 """
 _PAIRS = _RECORDS + ", p as (select a.term as term_a, b.term as term_b, count(*) as records, sum(a.cnt) as w from x a join x b on a.fnum = b.fnum and a.line_no = b.line_no and a.term < b.term group by all)"
 
-QUERIES = {"p1_found": p1_found, "p1_terms": p1_terms, "p4_found": p4_found, "p4_pairs": p4_pairs, "p6_found": p6_found, "p6_combinations": p6_combinations, "p7_packed": p7_packed, "p8_found": p8_found, "p8_removal_spans": p8_removal_spans, "p9_found": p9_found, "p9_segments": p9_segments}
+QUERIES = {"p1_found": p1_found, "p1_terms": p1_terms, "p4_found": p4_found, "p4_pairs": p4_pairs, "p6_found": p6_found, "p6_combinations": p6_combinations, "p5_found": p5_found, "p5_restored": p5_restored, "p7_packed": p7_packed, "p8_found": p8_found, "p8_removal_spans": p8_removal_spans, "p9_found": p9_found, "p9_segments": p9_segments}
 
 ORACLE = {
     "p1_found": _RECORDS + "select term, 'rare' as mark from c where occurrences < 200 union all select term, 'common' as mark from c, n where c.records * 20 > n.n",
