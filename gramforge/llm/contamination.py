@@ -185,100 +185,103 @@ class _Search:
         rows = np.repeat(lo - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
         at = raw[index.locate(rows)]
         doc = np.searchsorted(doc_start, at, side="right") - 1
-        out = []
         order = np.lexsort((at, doc, self.item[which]))
         which, at, doc = which[order], at[order], doc[order]
         item = self.item[which]
+        windows: list[tuple[int, int, int, int]] = []
         for a, b in _groups(item):
-            out += self._verify(int(item[a]), at[a:b], doc[a:b], self.offset[which[a:b]], words, doc_start, ids, word_base)
+            windows += self._windows(int(item[a]), at[a:b], doc[a:b], self.offset[which[a:b]], words, doc_start)
+        windows.sort(key=lambda x: (-len(self.items.words[x[0]]), x))
+        out = []
+        for c in range(0, len(windows), 256):
+            some = windows[c : c + 256]
+            found = align_all([self.items.words[k] for k, *_ in some], [words[lo:hi] for _, _, lo, hi in some])
+            for (k, d, lo, _), best in zip(some, found):
+                if best:
+                    base = lo - int(doc_start[d]) + int(word_base[d])
+                    out.append((int(ids[d]), self.items.ids[k], base + best[0], base + best[1], len(self.items.words[k]), best[2], best[3]))
         return out
 
-    def _verify(self, k: int, at: np.ndarray, doc: np.ndarray, offset: np.ndarray, words: np.ndarray, doc_start: np.ndarray, ids: np.ndarray, word_base: np.ndarray) -> list[tuple]:
+    def _windows(self, k: int, at: np.ndarray, doc: np.ndarray, offset: np.ndarray, words: np.ndarray, doc_start: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(item, document, first word, end): where an item can stand, with enough of its words near the phrases found."""
         w = self.items.words[k]
         n = len(w)
-        least, most = needed(n), n // EDIT_EVERY
-        band = most
-        diagonal = at - offset
-        one = np.unique(np.stack([doc, diagonal]), axis=1)
+        least, band = needed(n), n // EDIT_EVERY
+        one = np.unique(np.stack([doc, at - offset]), axis=1)
         doc, diagonal = one[0], one[1]
-        padded = np.concatenate([np.zeros(n + band + 1, np.int64), words, np.zeros(2 * n + 2 * band + 1, np.int64)])
-        shift = n + band + 1
         kept = []
         for c in range(0, len(doc), 4096):
             d, g = doc[c : c + 4096], diagonal[c : c + 4096]
-            lo, hi = doc_start[d], doc_start[d + 1]
-            any_hit = np.zeros((len(d), n), bool)
-            for s in range(-band, band + 1):
-                pos = g[:, None] + s + np.arange(n)
-                hit = (padded[np.clip(pos + shift, 0, len(padded) - 1)] == w) & (pos >= lo[:, None]) & (pos < hi[:, None])
-                any_hit |= hit
-            enough = any_hit.sum(axis=1) >= least - least // EDIT_EVERY
-            kept.append(np.flatnonzero(enough) + c)
+            pos = (g - band)[:, None] + np.arange(n + 2 * band)
+            near = np.where((pos >= doc_start[d][:, None]) & (pos < doc_start[d + 1][:, None]), words[np.clip(pos, 0, len(words) - 1)], 0)
+            hit = near[:, :n] == w
+            for s in range(1, 2 * band + 1):
+                hit |= near[:, s : s + n] == w
+            kept.append(np.flatnonzero(hit.sum(axis=1) >= least - least // EDIT_EVERY) + c)
         kept = np.concatenate(kept)
-        if not len(kept):
-            return []
-        # one window per document and neighbourhood of diagonals
-        spans = []
-        doc, diagonal = doc[kept], diagonal[kept]
-        begin = 0
-        windows = []
+        doc, diagonal = doc[kept].tolist(), diagonal[kept].tolist()
+        out, begin = [], 0
         for i in range(1, len(doc) + 1):
             if i == len(doc) or doc[i] != doc[begin] or diagonal[i] - diagonal[i - 1] > 2 * band + 1:
-                windows.append((int(doc[begin]), int(diagonal[begin]), int(diagonal[i - 1])))
+                d = doc[begin]
+                out.append((k, d, max(int(doc_start[d]), diagonal[begin] - band), min(int(doc_start[d + 1]), diagonal[i - 1] + n + band + 1)))
                 begin = i
-        for d, first, last in windows:
-            lo = max(int(doc_start[d]), first - band)
-            hi = min(int(doc_start[d + 1]), last + n + band + 1)
-            best = align(w, words[lo:hi])
-            if best:
-                base = lo - int(doc_start[d]) + int(word_base[d])
-                spans.append((int(ids[d]), self.items.ids[k], base + best[0], base + best[1], n, best[2], best[3]))
-        return spans
+        return out
 
 
-def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int, int] | None:
-    """The longest passage of ``item`` in ``text``: (start, end, item words covered, edits); None without a match.
+def align_all(items: list[np.ndarray], texts: list[np.ndarray]) -> list[tuple[int, int, int, int] | None]:
+    """For each item and text the longest passage: (start, end, item words covered, edits); None without a match.
 
-    length[e][j]: item words covered by an alignment that ends at item word i and text word j with e edits.
+    ``items`` come longest first. A state is the item words covered by an alignment that ends at an item word and a
+    text word with e edits, times 2^32, plus where it began: the greatest state is the longest alignment.
     """
-    n, m = len(item), len(text)
-    if not m:
-        return None
-    most, least = n // EDIT_EVERY, needed(n)
-    none = -(10**6)
-    length = np.full((most + 1, m + 1), none, np.int64)
-    begin = np.zeros((most + 1, m + 1), np.int64)
-    length[0], begin[0] = 0, np.arange(m + 1)
-    best = None
-    for i in range(n):
-        equal = np.concatenate([[False], text == item[i]])
-        new = np.full_like(length, none)
-        start = np.zeros_like(begin)
+    size = len(items)
+    n = np.array([len(x) for x in items])
+    m = max(len(x) for x in texts)
+    text = np.full((size, m), -1, np.int64)
+    for r, x in enumerate(texts):
+        text[r, : len(x)] = x
+    item = np.full((size, int(n[0])), -2, np.int64)
+    for r, x in enumerate(items):
+        item[r, : len(x)] = x
+    most = int(n[0]) // EDIT_EVERY
+    one, none = 1 << 32, -(1 << 60)
+    least = -(-n // 2)
+    fresh = np.arange(m + 1)
+    old = np.full((most + 1, size, m + 1), none, np.int64)
+    old[0] = fresh
+    best: list[tuple[int, int, int, int] | None] = [None] * size
+    for i in range(int(n[0])):
+        live = int((n > i).sum())
+        old = old[:, :live]
+        new = np.empty_like(old)
+        equal = text[:live] == item[:live, i, None]
         for e in range(most + 1):
-            new[e, 1:] = np.where(equal[1:], length[e, :-1] + 1, none)
-            start[e, 1:] = begin[e, :-1]
+            x = new[e]
+            x[:, 0] = none
+            np.copyto(x[:, 1:], np.where(equal, old[e, :, :-1] + one, none))
             if e:
-                better = length[e - 1, :-1] + 1 > new[e, 1:]  # changed
-                start[e, 1:] = np.where(better, begin[e - 1, :-1], start[e, 1:])
-                new[e, 1:] = np.where(better, length[e - 1, :-1] + 1, new[e, 1:])
-                better = length[e - 1] + 1 > new[e]  # left out
-                start[e] = np.where(better, begin[e - 1], start[e])
-                new[e] = np.where(better, length[e - 1] + 1, new[e])
-                better = new[e - 1, :-1] > new[e, 1:]  # added
-                start[e, 1:] = np.where(better, start[e - 1, :-1], start[e, 1:])
-                new[e, 1:] = np.where(better, new[e - 1, :-1], new[e, 1:])
-        fresh = new[0] < 0  # a passage may begin after any item word
-        new[0] = np.where(fresh, 0, new[0])
-        start[0] = np.where(fresh, np.arange(m + 1), start[0])
-        length, begin = new, start
-        for e in range(most + 1):
-            j = int(length[e].argmax())
-            covered = int(length[e, j])
-            if covered >= least and covered >= EDIT_EVERY * e and (best is None or (covered - e, -e) > (best[2] - best[3], -best[3])):
-                best = (int(begin[e, j]), j, covered, e)
+                before = old[e - 1] + one
+                np.maximum(x[:, 1:], before[:, :-1], out=x[:, 1:])  # changed
+                np.maximum(x, before, out=x)  # left out
+                np.maximum(x[:, 1:], new[e - 1, :, :-1], out=x[:, 1:])  # added
+        top = new.max(axis=2)  # edits x rows
+        np.maximum(new[0], fresh, out=new[0])  # a passage may begin after any item word
+        covered = top >> 32
+        fits = (covered >= least[:live]) & (covered >= EDIT_EVERY * np.arange(most + 1)[:, None])
+        for e, r in zip(*np.nonzero(fits)):
+            c = int(covered[e, r])
+            if best[r] is None or (c - e, -e) > (best[r][2] - best[r][3], -best[r][3]):
+                best[r] = (int(top[e, r]) & (one - 1), int(new[e, r].argmax()), c, int(e))
+        old = new
     return best
 
 
+def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int, int] | None:
+    """``align_all`` of one item and text."""
+    return align_all([item], [text])[0] if len(text) else None
+
+
 def _groups(keys: np.ndarray) -> list[tuple[int, int]]:
     at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     return list(zip(at.tolist(), [*at[1:].tolist(), len(keys)]))
