@@ -12,48 +12,58 @@ from pyspark.sql import functions as F
 
 _ALWAYS = r"[!\"$%()?@\[\\\]^_{|}~]"
 
-# The substitutions that define the tokenization, in their order. (pattern, replacement, passes)
-RULES: list[tuple[str, str, int]] = [
+# The substitutions that define the tokenization, in their order. Each group: a pattern without which a line
+# isn't changed by it, and its substitutions (pattern, replacement, passes).
+GROUPS: list[tuple[str, list[tuple[str, str, int]]]] = [
     # punctuation that always stands alone
-    (rf"(\S)({_ALWAYS})", "$1 $2", 1),
-    (rf"({_ALWAYS})(\S)", "$1 $2", 1),
+    (_ALWAYS, [(rf"(\S)({_ALWAYS})", "$1 $2", 1), (rf"({_ALWAYS})(\S)", "$1 $2", 1)]),
     # angle brackets, unless they are part of a marker
-    (r"<(S|/S|UNK)>", "_$1_", 1),
-    (r"(\S)([<>])", "$1 $2", 1),
-    (r"([<>])(\S)", "$1 $2", 1),
-    (r"_(S|/S|UNK)_", "<$1>", 1),
+    (r"[<>]", [(r"<(S|/S|UNK)>", "_$1_", 1), (r"(\S)([<>])", "$1 $2", 1), (r"([<>])(\S)", "$1 $2", 1), (r"_(S|/S|UNK)_", "<$1>", 1)]),
     # backtick, unless beside another
-    (r"([^`\s])(`)", "$1 $2", 1),
-    (r"(`)([^`\s])", "$1 $2", 1),
+    (r"`", [(r"([^`\s])(`)", "$1 $2", 1), (r"(`)([^`\s])", "$1 $2", 1)]),
     # ampersand, number sign and semicolon, unless they form an entity
-    (r"&#(\S+);", "_AB_$1_C_", 1),
-    (r"&(\S+);", "_A_$1_C_", 1),
-    (r"(\S)([&#;])", "$1 $2", 1),
-    (r"([&#;])(\S)", "$1 $2", 1),
-    (r"_A_(\S+)_C_", "&$1;", 1),
-    (r"_AB_(\S+)_C_", "&#$1;", 1),
+    (
+        r"[&#;]",
+        [
+            (r"&#(\S+);", "_AB_$1_C_", 1),
+            (r"&(\S+);", "_A_$1_C_", 1),
+            (r"(\S)([&#;])", "$1 $2", 1),
+            (r"([&#;])(\S)", "$1 $2", 1),
+            (r"_A_(\S+)_C_", "&$1;", 1),
+            (r"_AB_(\S+)_C_", "&#$1;", 1),
+        ],
+    ),
     # star and equals beside letters and digits; plus, comma and colon beside letters
-    (r"([\pL\pN])([*=])", "$1 $2", 1),
-    (r"([*=])([\pL\pN])", "$1 $2", 1),
-    (r"(\pL)([+,:])", "$1 $2", 1),
-    (r"([+,:])(\pL)", "$1 $2", 1),
+    (r"[*=]", [(r"([\pL\pN])([*=])", "$1 $2", 1), (r"([*=])([\pL\pN])", "$1 $2", 1)]),
+    (r"[+,:]", [(r"(\pL)([+,:])", "$1 $2", 1), (r"([+,:])(\pL)", "$1 $2", 1)]),
     # a contraction that stands alone; punctuation at the end of a word; clitics
-    (r"\bn't\b", "not", 1),
-    (r"(\w)(['\-/]) ", "$1 $2 ", 1),
-    (r"(?i)(\S)('(?:d|em|ll|m|re|s|ve))\b", "$1 $2", 1),
+    (r"n't", [(r"\bn't\b", "not", 1)]),
+    (r"['\-/] ", [(r"(\w)(['\-/]) ", "$1 $2 ", 1)]),
+    (r"'", [(r"(?i)(\S)('(?:d|em|ll|m|re|s|ve))\b", "$1 $2", 1)]),
     # dashes and slashes inside words: one character may belong to two matches, so twice
-    (r"(\w)([\-/])(\w)", "$1 $2 $3", 2),
+    (r"[\-/]", [(r"(\w)([\-/])(\w)", "$1 $2 $3", 2)]),
     # the final period; acronyms
-    (r"(\w)(\.\W*)$", "$1 $2", 1),
-    (r"([A-Z]\.)([A-Z]\.)", "$1 $2", 2),
+    (r"\.", [(r"(\w)(\.\W*)$", "$1 $2", 1)]),
+    (r"[A-Z]\.[A-Z]", [(r"([A-Z]\.)([A-Z]\.)", "$1 $2", 2)]),
 ]
+RULES = [rule for _, rules in GROUPS for rule in rules]
 START, END, UNKNOWN = "<S>", "</S>", "<UNK>"
 
 
+def _apply(text: Column, rules: list[tuple[str, str, int]]) -> Column:
+    steps = [(p, r) for p, r, times in rules for _ in range(times)]
+    return reduce(lambda c, step: F.regexp_replace(c, F.lit(step[0]), F.lit(step[1])), steps, text)
+
+
+def _guarded(text: Column, guard: str, rules: list[tuple[str, str, int]]) -> Column:
+    """A group of rules, passed over for lines it can't change. The line is bound once, as a lambda's variable:
+    written out, each group would repeat all those before it."""
+    return F.get(F.transform(F.array(text), lambda x: F.when(x.rlike(guard), _apply(x, rules)).otherwise(x)), F.lit(0))
+
+
 def tokenize(text: Column) -> Column:
     """Tokens of one line: ARRAY<STRING>; a null line gives null, a blank one an empty array."""
-    steps = [(p, r) for p, r, times in RULES for _ in range(times)]
-    done = reduce(lambda c, step: F.regexp_replace(c, F.lit(step[0]), F.lit(step[1])), steps, text)
+    done = reduce(lambda c, group: _guarded(c, *group), GROUPS, text)
     return F.filter(F.split(done, r"\s+"), lambda t: t != "")
 
 

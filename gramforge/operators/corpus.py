@@ -14,7 +14,7 @@ from gramforge.sources.ngram_data import WORDS
 
 def word_counts(sents: DataFrame) -> DataFrame:
     """w1, cnt of all tokens, the sentence marks among them."""
-    return sents.select(F.explode("w").alias("w1")).groupBy("w1").agg(F.count("*").alias("cnt"))
+    return sents.select(F.explode_outer("w").alias("w1")).groupBy("w1").agg(F.count("*").alias("cnt"))
 
 
 def with_unknowns(sents: DataFrame, vocab: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
