@@ -23,7 +23,8 @@ def parse_patterns(patterns: DataFrame, column: str = "pattern") -> DataFrame:
     """
     t = F.col("t")
     tokens = patterns.select(parse_tokens(F.col(column)).alias("t")).where(F.size("t") > 0)
-    checked = F.when(F.size(t) <= MAX_ORDER, F.size(t)).otherwise(F.raise_error(F.concat(F.lit("pattern of more than 5 tokens: "), F.array_join(t, " "))).cast("int"))
+    error = F.raise_error(F.concat(F.lit("pattern of more than 5 tokens: "), F.array_join(t, " "))).cast("int")
+    checked = F.when(F.size(t) > MAX_ORDER, error).otherwise(F.size(t))
     mask = F.aggregate(t, F.lit(0), lambda acc, x: acc * 2 + F.when(x == WILDCARD, 1).otherwise(0))
     words = [F.when(F.get(t, F.lit(i)) != WILDCARD, F.get(t, F.lit(i))).alias(f"p{i + 1}") for i in range(MAX_ORDER)]
     return tokens.select(F.array_join(t, " ").alias("pattern"), checked.alias("n"), mask.alias("mask"), *words).distinct()
