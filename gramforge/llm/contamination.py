@@ -118,6 +118,7 @@ class _Search:
         self.offset = np.concatenate([np.arange(k) for k in n])
         self.start = np.concatenate([[0], np.cumsum(n)])
         self.flat = np.concatenate(items.words)
+        self.top = int(self.flat.max())
         self.unbroken = [unbroken(k) for k in n]
         self.longest = max(self.unbroken)
         self.lengths = np.array(n)[self.item]
@@ -176,7 +177,7 @@ class _Search:
         keep = np.ones(len(text), bool)
         keep[1:] = ~((text[1:] == 1) & (text[:-1] == 1))  # a run of foreign words can't be in a phrase
         text, raw = text[keep], raw[keep]
-        index = FMIndex(text)
+        index = FMIndex(text, self.top)
         place, lo, hi = self.phrases(index)
         size = hi - lo
         if not size.sum():

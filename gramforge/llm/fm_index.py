@@ -86,13 +86,13 @@ class WaveletMatrix:
 
 
 class FMIndex:
-    """Counts and locates phrases (arrays of symbols > 0) in a text of symbols >= 0."""
+    """Counts and locates phrases (arrays of symbols > 0) in a text of symbols >= 0; ``top``: the greatest symbol that is asked for."""
 
-    def __init__(self, text: np.ndarray):
+    def __init__(self, text: np.ndarray, top: int = 0):
         self.n = len(text) + 1
         s = np.concatenate([text.astype(np.int64) + 1, [0]])  # 0 ends the text
         sa = suffix_array(s)
-        bits = max(1, int(s.max()).bit_length())
+        bits = max(int(s.max()), top + 1).bit_length()
         self.bwt = WaveletMatrix(s[sa - 1], bits)
         self.before = np.concatenate([[0], np.cumsum(np.bincount(s, minlength=1 << bits))])
         self.marked = sa % SAMPLE == 0
