@@ -9,6 +9,8 @@ from gramforge.functions.patterns import MAX_ORDER, WILDCARD, has_n2, wildcards
 from gramforge.sources.ngram_data import WORDS
 
 KEYS = ["k1", "k2", "k3", "k4", "k5"]
+#: patterns are broadcast up to this many (some 20 MB); beyond, both sides are shuffled
+BROADCAST_PATTERNS = 200_000
 
 
 def _masks(patterns: DataFrame) -> dict[int, list[int]]:
@@ -31,6 +33,10 @@ def masked(ngrams: DataFrame, masks: dict[int, list[int]], extra: list[str]) ->
     return asked.select("n", "mask", *keys, last, "cnt", *extra)
 
 
+def _few(patterns: DataFrame) -> bool:
+    return patterns.limit(BROADCAST_PATTERNS + 1).count() <= BROADCAST_PATTERNS
+
+
 def _same_key(a: DataFrame, b: DataFrame) -> Column:
     on = (a["n"] == b["n"]) & (a["mask"] == b["mask"])
     for k, p in zip(KEYS, ("p1", "p2", "p3", "p4", "p5")):
@@ -45,10 +51,16 @@ def pattern_counts(ngrams: DataFrame, patterns: DataFrame, n2: bool = True, zero
     words (null unless two wildcards or more, the last word one). Patterns without a match come out only with ``zeroes``.
     Only the masks asked for are probed, and only n-grams of the orders asked for are read.
     """
-    long = masked(ngrams, _masks(patterns), [])
-    hit = long.join(patterns, _same_key(long, patterns)).select("pattern", patterns["mask"].alias("pmask"), "cnt", "last")
+    long = masked(ngrams, _masks(patterns), []).withColumn("one", F.lit(1).cast("long"))
+    if _few(patterns):
+        asked = F.broadcast(patterns)
+    else:
+        # the keys of many wildcards hold most rows: they are added up by last word before the join
+        asked = patterns
+        long = long.groupBy("n", "mask", *KEYS, "last").agg(F.sum("cnt").alias("cnt"), F.sum("one").alias("one"))
+    hit = long.join(asked, _same_key(long, patterns)).select("pattern", patterns["mask"].alias("pmask"), "cnt", "one", "last")
     found = hit.groupBy("pattern").agg(
-        F.sum("cnt").alias("c0"), F.count("*").alias("c1"), *([F.count_distinct(F.when(has_n2(F.col("pmask")), F.col("last"))).alias("c2")] if n2 else [])
+        F.sum("cnt").alias("c0"), F.sum("one").alias("c1"), *([F.count_distinct(F.when(has_n2(F.col("pmask")), F.col("last"))).alias("c2")] if n2 else [])
     )
     out = patterns.select("pattern", "mask").join(found, "pattern", "left" if zeroes else "inner")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
@@ -66,7 +78,9 @@ def matching_ngrams(ngrams: DataFrame, patterns: DataFrame, with_exact: bool = F
     some = patterns.where(F.col("mask") < F.expr("shiftleft(1, n) - 1"))
     asked = some if with_exact else some.where("mask > 0")
     long = masked(ngrams, _masks(asked), WORDS)
-    kept = long.join(asked, _same_key(long, asked), "left_semi").select("n", *WORDS, "cnt").distinct()
+    # beyond the bound, adaptive execution splits the hot keys of a semi-join
+    small = F.broadcast(asked) if _few(asked) else asked
+    kept = long.join(small, _same_key(long, asked), "left_semi").select("n", *WORDS, "cnt").distinct()
     if with_exact:
         return kept
     exact = patterns.where("mask = 0")

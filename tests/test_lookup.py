@@ -57,8 +57,10 @@ def test_too_long(spark):
         parse_patterns(spark.createDataFrame([("a b c d e f",)], "pattern string")).collect()
 
 
+@pytest.mark.parametrize("bound", [0, 200_000])
 @pytest.mark.parametrize("zeroes", [False, True])
-def test_counts(ngrams, patterns, zeroes):
+def test_counts(ngrams, patterns, zeroes, bound, monkeypatch):
+    monkeypatch.setattr(lookup, "BROADCAST_PATTERNS", bound)
     got = {r[0]: tuple(r[1:]) for r in lookup.pattern_counts(ngrams, patterns, zeroes=zeroes).collect()}
     want = {p: brute(p) for p in clean()}
     assert got == {p: v for p, v in want.items() if zeroes or v[0]}
@@ -69,8 +71,10 @@ def test_counts_of_nothing(ngrams, patterns):
     assert lookup.pattern_counts(ngrams, patterns.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("bound", [0, 200_000])
 @pytest.mark.parametrize("exact", [False, True])
-def test_matching(ngrams, patterns, exact):
+def test_matching(ngrams, patterns, exact, bound, monkeypatch):
+    monkeypatch.setattr(lookup, "BROADCAST_PATTERNS", bound)
     got = sorted(" ".join(w for w in r[1:6] if w) for r in lookup.matching_ngrams(ngrams, patterns, exact).collect())
     some = [p for p in clean() if set(p.split()) != {"_"}]
     want = [g for g, _ in NGRAMS if any(matches(p, g) for p in some) and (exact or g not in some)]
