@@ -37,6 +37,8 @@ FIRST_SHARE, LEAST_SHARE = 1e-4, 1e-7
 SPREAD = 0.5
 #: log probability that a sign standing alone was written so, at least
 SIGN = log(0.01)
+#: bigrams of the language that the driver and each task hold at most (some 200 MB)
+MAX_BIGRAMS = 2_000_000
 #: damage from which on a token is held to be damaged
 DECIDE = 0.8
 _START, _END = "\x02", "\x03"
@@ -251,6 +253,8 @@ def solve(types: DataFrame, options: DataFrame, rounds: int = ROUNDS) -> Solved:
     """Expectation-maximization over all token types. Both tables are read once a round: hand over written ones."""
     first = _stats(types.select("token", "count"), _count_bigrams)
     everything = first.get("bigram", {})
+    if len(everything) > MAX_BIGRAMS:
+        raise ValueError(f"{len(everything)} different bigrams: learn from the rows of one script at a time")
     tokens = max(1.0, first.get("tokens", {}).get("", 0.0))  # beyond ASCII
     kinds = max(1, int(first.get("types", {}).get("", 0)))
     model = Model(bigrams=everything)

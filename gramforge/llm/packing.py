@@ -137,9 +137,9 @@ def pack_documents(lengths: DataFrame, containers: DataFrame, shard_items: int =
     """
     classes = sorted((r[0], int(r[1])) for r in containers.where("capacity > 0").select("class_name", "capacity").distinct().collect())
     shards = max(1, -(-lengths.count() // shard_items))
-    shard = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(shards)).cast("long") if shards > 1 else F.lit(0).cast("long")
-    # copies of one id are told apart and spread, so that no shard is decided by them
-    given = lengths.select("doc_id", "tokens", F.monotonically_increasing_id().alias("copy")).withColumn("shard", shard)
+    # rows of one id are told apart and spread: no shard grows with them
+    numbered = lengths.select("doc_id", "tokens", F.monotonically_increasing_id().alias("copy"))
+    given = numbered.withColumn("shard", F.pmod(F.xxhash64("doc_id", "copy"), F.lit(shards)).cast("long"))
     return given.groupBy("shard").applyInPandas(lambda pdf: _pack_shard(pdf, classes), _PACKED)
 
 

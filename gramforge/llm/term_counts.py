@@ -7,7 +7,7 @@ Records that arrive again unchanged cost a comparison and change nothing.
 
 Layout below ``path``: ``records/gen=K`` (content of each record written by batch K), ``deltas/gen=K``
 (bucket, term, occurrences, records) and ``totals/gen=K``. Every batch only adds folders, so a batch
-that fails halfway can be run again; ``compact`` folds the deltas into one generation.
+that fails halfway can be run again; ``compact`` folds the deltas so far into ``merged/upto=K``.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from gramforge.llm.records import terms_of
 RARE_BELOW = 200
 COMMON_SHARE = (1, 20)
 _RECORDS = "k1 long, k2 long, content string, weight long, alive boolean, gen int"
-_DELTAS = "term string, occurrences long, records long, bucket int, gen int"
+_COUNTS = "term string, occurrences long, records long, bucket int"
 _TOTALS = "records long, gen int"
 
 
@@ -34,6 +34,8 @@ class TermCountStore:
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = 16):
         self.spark, self.path, self.buckets, self.generation = spark, path, buckets, 0
+        self.merged: str | None = None
+        self.first_delta = 0
 
     def _read(self, kind: str, schema: str) -> DataFrame:
         return self.spark.read.schema(schema).option("basePath", f"{self.path}/{kind}").parquet(f"{self.path}/{kind}")
@@ -78,13 +80,22 @@ class TermCountStore:
         self.generation += 1
 
     def compact(self) -> None:
-        """Fold all deltas into one generation, bucket by bucket, under a new path; the old one stays until dropped."""
-        merged = f"{self.path}/deltas-{self.generation}"
-        self._counts().withColumn("gen", F.lit(0)).write.mode("overwrite").partitionBy("gen", "bucket").parquet(merged)
-        self._merged = merged
+        """Fold all deltas so far into one generation below ``merged``; later batches add to it. The old folders are left to be removed."""
+        target = f"{self.path}/merged/upto={self.generation}"
+        self._counts().write.mode("overwrite").partitionBy("bucket").parquet(target)
+        self.merged, self.first_delta = target, self.generation
 
     def _counts(self) -> DataFrame:
-        return self._read("deltas", _DELTAS).groupBy("bucket", "term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records")).where("records > 0")
+        """bucket, term, occurrences, records: the merged counts and the deltas since, added up within each bucket."""
+        folders = [self.merged] if self.merged else []
+        folders += [f"{self.path}/deltas/gen={g}" for g in range(self.first_delta, self.generation)]
+        parts = [self.spark.read.schema(_COUNTS).option("basePath", f).parquet(f) for f in folders]
+        if not parts:
+            return self.spark.createDataFrame([], _COUNTS)
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out.groupBy("bucket", "term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records")).where("records > 0")
 
     def total(self) -> DataFrame:
         return self._read("totals", _TOTALS).agg(F.sum("records").alias("total"))

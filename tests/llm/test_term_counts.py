@@ -73,6 +73,10 @@ def test_marks_and_compaction(spark):
     got = {r["term"]: (r["rare"], r["common"]) for r in store.counts().collect()}
     assert got == {"all": (False, True), "few": (True, False), "x": (False, True)}
     assert result(store) == {"all": (6000, 100), "few": (120, 2), "x": (5880, 98)}
+    store.apply(spark.createDataFrame([(1, 0, "all", 60, 0), (2, 0, "x", 1, 0)], SCHEMA))
+    store.compact()
+    store.apply(spark.createDataFrame([(2, 0, "x x", 1, 0)], SCHEMA))
+    assert result(store) == {"all": (6000, 100), "few": (60, 1), "x": (5882, 99)}
 
 
 def test_empty_and_long(spark):
