@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from gramforge.operators.rejects import load_ngram_lines, rejects
 from gramforge.operators.skew import heavy_keys, skewed_counters
-from gramforge.session import table
+from gramforge.session import materialize, table
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
-    return heavy_keys(skewed_counters(table(spark, sf, "pattern_counters"))).select(F.col("key").alias("pc_key"))
+    # one row per key, written: it is read for the whole and for the shares
+    counters = materialize(skewed_counters(table(spark, sf, "pattern_counters")), "counters")
+    return heavy_keys(counters).select(F.col("key").alias("pc_key"))
 
 
 def p2_counters(spark: SparkSession, sf: str) -> DataFrame:
