@@ -67,9 +67,9 @@ def build(documents: DataFrame, ngram_threshold: int = 40, token_threshold: int
 
 
 def known_sentences(sents: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Sentences all of whose words are in the vocabulary."""
+    """Sentences all of whose words, the marks at both ends aside, are in the vocabulary."""
     key = ["doc_id", "line_no"]
-    tokens = sents.select(*key, F.explode("w").alias("w1"))
+    tokens = sents.select(*key, F.explode(F.slice("w", F.lit(2), F.size("w") - 2)).alias("w1"))
     unknown = tokens.join(vocab.select("w1"), "w1", "left_anti").select(*key).distinct()
     return sents.join(unknown, key, "left_anti")
 

@@ -78,6 +78,34 @@ def stats_tables(corpus: Corpus) -> dict[str, DataFrame]:
     return out | {"totals": totals(orders)}
 
 
+def stats_from_counts(counts: DataFrame) -> dict[str, DataFrame]:
+    """The same tables from a count file: parsed patterns (n, mask, p1..p5) with n0, n1, n2. What it lacks is 0."""
+    words = ["p1", "p2", "p3", "p4", "p5"]
+
+    def pick(n: int, mask: int, first: int, k: int, **names: str) -> DataFrame:
+        rows = counts.where((F.col("n") == n) & (F.col("mask") == mask))
+        return rows.select(*(F.col(words[first + i]).alias(f"c{i + 1}") for i in range(k)), *(F.coalesce(c, F.lit(0)).alias(name) for c, name in names.items()))
+
+    out = {}
+    for k in range(1, 5):
+        keys = [f"c{i + 1}" for i in range(k)]
+        parts = [pick(k, 0, 0, k, n0=f"x0_{k}"), pick(k + 1, 1, 0, k, n0=f"r0_{k}", n1=f"r1_{k}")]
+        names = [f"x0_{k}", f"r0_{k}", f"r1_{k}"]
+        if k <= 3:
+            parts.append(pick(k + 2, 1 << (k + 1) | 1, 1, k, n0=f"m0_{k}", n1=f"m1_{k}", n2=f"m2_{k}"))
+            names += [f"m0_{k}", f"m1_{k}", f"m2_{k}"]
+        out[f"x{k}"] = _sums(parts, keys, names)
+    for k in range(1, 6):
+        keys = [f"c{i + 1}" for i in range(k)]
+        parts, names = [pick(k, 0, 0, k, n0=f"y0_{k}")], [f"y0_{k}"]
+        if k <= 4:
+            parts.append(pick(k + 1, 1 << k, 1, k, n0=f"l0_{k}", n1=f"l1_{k}"))
+            names += [f"l0_{k}", f"l1_{k}"]
+        out[f"y{k}"] = _sums(parts, keys, names)
+    one = lambda n, mask, c: F.coalesce(F.max(F.when((F.col("n") == n) & (F.col("mask") == mask), F.col(c))), F.lit(0))
+    return out | {"totals": counts.agg(one(1, 1, "n0").alias("t0"), one(2, 3, "n1").alias("t1"))}
+
+
 def bad_contexts() -> list[Column]:
     """bad_k: one of the k words before the target is a token of BAD_TOKENS; kbad_k: the same, but for </S> after a context whose only such character is its last."""
     out = []

@@ -70,9 +70,15 @@ def read_lexicon(spark: SparkSession, lemmas: str, forms: str, spellings: str) -
     return lemma, form, spelling
 
 
-def records(ngram_files: DataFrame) -> DataFrame:
-    """Loaded rows without repeated deliveries: the latest row of each (fnum, line_no); nulls in ngram or cnt are left out."""
+def records(ngram_files: DataFrame, changed: bool = False) -> DataFrame:
+    """fnum, line_no, n, w1..w5, cnt of loaded rows without repeated deliveries; nulls in ngram or cnt are left out.
+
+    A repeated delivery has the same key and content, so distinct rows do, and filters on words reach the scan. With
+    ``changed``, a key may come with other content, and its latest row counts.
+    """
     sound = ngram_files.where(F.col("ngram").isNotNull() & F.col("cnt").isNotNull())
+    if not changed:
+        return sound.select("fnum", "line_no", "n", *WORDS, "cnt").distinct()
     latest = F.max_by(F.struct("n", *WORDS, "cnt"), F.struct("loaded_at", "row_id"))
     return sound.groupBy("fnum", "line_no").agg(latest.alias("r")).select("fnum", "line_no", "r.*")
 
