@@ -36,7 +36,7 @@ RARE = 40
 MAX_ITEM_WORDS = 5_000_000
 _SPANS = "doc_id long, item_id long, start_word long, end_word long, item_words int, matched_words int, edits int"
 _TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,80}>")
-_HIDDEN = dict.fromkeys([0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF])
+_HIDDEN = re.compile("[\u00ad\u200b\u200c\u200d\u2060\ufeff]")  # soft hyphen and spaces without width
 _WORD = re.compile(r"[^\W_]+")
 _HARD = re.compile(r"[^\x00-\x7f]")
 
@@ -50,11 +50,8 @@ def words_of(text: str | None) -> list[str]:
     if "&" in text:
         text = html.unescape(text)
     if _HARD.search(text):
-        text = unicodedata.normalize("NFKC", text.translate(_HIDDEN)).lower()
-        text = unicodedata.normalize("NFKC", text)
-    else:
-        text = text.lower()
-    return _WORD.findall(text)
+        text = unicodedata.normalize("NFKC", _HIDDEN.sub("", text))
+    return _WORD.findall(text.lower())
 
 
 @dataclass
@@ -127,20 +124,15 @@ class _Search:
         """Places in the items where a searched phrase begins, and its range of suffixes."""
         total = len(self.flat)
         lows, highs = [], []
-        # range of flat[i : i + g] for every i: start from the last word and extend to the left
+        lo, hi = index.everything(total + 1)
         for g in range(1, self.longest + 1):
-            lo, hi = index.everything(total)
-            live = self.offset + g <= self.lengths
-            at = np.flatnonzero(live)
-            lo, hi = lo[at], hi[at]
-            for step in range(g - 1, -1, -1):
-                lo, hi = index.extend(lo, hi, self.flat[at + step])
-                some = hi > lo
-                at, lo, hi = at[some], lo[some], hi[some]
-            low, high = np.zeros(total, np.int64), np.zeros(total, np.int64)
-            low[at], high[at] = lo, hi
-            lows.append(low)
-            highs.append(high)
+            # the phrase of g words that begins here is this word before the phrase of g - 1 words that begins next
+            low, high = np.zeros(total + 1, np.int64), np.zeros(total + 1, np.int64)
+            at = np.flatnonzero((self.offset + g <= self.lengths) & (hi[1:] > lo[1:]))
+            low[at], high[at] = index.extend(lo[at + 1], hi[at + 1], self.flat[at])
+            lo, hi = low, high
+            lows.append(low[:total])
+            highs.append(high[:total])
         return self._choose(np.array(lows), np.array(highs))
 
     def _choose(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -99,10 +99,14 @@ def _segments(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
-    langs = document_languages(_segments(spark, sf)).where((F.col("rank") == 1) | (F.col("words") >= MIXED_WORDS))
+    langs = document_languages(_segments(spark, sf))
     labels = table(spark, sf, "documents").select("doc_id", label_language(F.col("lang")).alias("label"))
-    per_doc = langs.groupBy("doc_id").agg(F.max(F.when(F.col("rank") == 1, F.col("lang"))).alias("main"), F.collect_list("lang").alias("langs"))
-    wrong = ~F.col("label").eqNullSafe(F.col("main")) | (F.size("langs") > 1)
+    first = F.col("rank") == 1
+    per_doc = langs.groupBy("doc_id").agg(
+        F.max(F.when(first, F.col("lang"))).alias("main"), F.sum(F.when(~first, F.col("words")).otherwise(0)).alias("others"),
+        F.collect_list(F.when(first | (F.col("words") >= MIXED_WORDS), F.col("lang"))).alias("langs"),
+    )
+    wrong = ~F.col("label").eqNullSafe(F.col("main")) | (F.col("others") >= MIXED_WORDS)
     return per_doc.join(labels, "doc_id").where(wrong).select("doc_id", F.explode("langs").alias("lang"))
 
 
