@@ -22,7 +22,7 @@ from gramforge.operators.lookup import matching_ngrams, pattern_counts
 from gramforge.plans import optimize, smoothing
 from gramforge.plans.features import distinct_positions, features, positions, stats_from_counts
 from gramforge.plans.score import request_patterns
-from gramforge.session import materialize
+from gramforge.session import materialize, ship
 from gramforge.sources.ngram_data import WORDS, read_counts, read_ngram_files, read_vocabulary
 
 
@@ -131,7 +131,9 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:
     args = parser().parse_args(argv)
-    args.run(spark or SparkSession.builder.appName("gramforge").getOrCreate(), args)
+    spark = spark or SparkSession.builder.appName("gramforge").getOrCreate()
+    ship(spark)
+    args.run(spark, args)
 
 
 if __name__ == "__main__":

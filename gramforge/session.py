@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +29,30 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable for Python workers, once in an application.
+
+    Nothing is sent where they find it already: it is on PYTHONPATH, or local workers run in its folder.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    _shipped.add(app)
+    package = Path(__file__).resolve().parent
+    root = str(package.parent)
+    on_path = root in (os.path.abspath(x) for x in os.environ.get("PYTHONPATH", "").split(os.pathsep) if x)
+    if on_path or (os.getcwd() == root and spark.sparkContext.master.startswith("local[")):
+        return
+    archive = Path(tempfile.mkdtemp(prefix="gramforge-")) / f"{package.name}.zip"  # the driver serves it to the executors
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(archive))
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
