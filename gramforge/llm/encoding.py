@@ -359,7 +359,11 @@ def find_damage(texts: DataFrame, column: str = "ngram") -> Damage:
     types = materialize(token_types(texts, column), "token-types")
     options = materialize(candidates(types), "cipher-options")
     solved = solve(types, options)
-    return Damage(materialize(score(options, solved).unionByName(lost_letters(types)), "damaged-tokens"), solved)
+    found = materialize(score(options, solved), "damaged-once")
+    # what a token was may itself be damaged, if the same text was read wrongly several times
+    deeper = found.select(F.col("token").alias("original"), F.col("original").alias("first"))
+    whole = found.join(deeper, "original", "left").select("token", "damage", F.coalesce("first", "original").alias("original"), "source")
+    return Damage(materialize(whole.unionByName(lost_letters(types)), "damaged-tokens"), solved)
 
 
 def damaged_rows(texts: DataFrame, damage: DataFrame, id_column: str = "row_id", column: str = "ngram") -> DataFrame:

@@ -34,7 +34,8 @@ NAMES = {
     "nl": ["nl", "dut", "nld", "dutch", "nederlands"],
     "pt": ["pt", "por", "portuguese", "português", "portugues"],
 }
-_QUOTES = re.compile('"([^"\n]{0,60})"|«([^»\n]{0,60})»|„([^“”\n]{0,60})[“”]|“([^”\n]{0,60})”')
+_QUOTE = re.compile('["«„“]')
+_QUOTES = re.compile('"[^"\n]{0,60}"|«[^»\n]{0,60}»|„[^“”\n]{0,60}[“”]|“[^”\n]{0,60}”')
 _TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,80}>")
 _COUNTS = re.compile(r"^[^\t]*(\t\d+)+\s*$")
 _SPLIT = re.compile(r"(?<=[.!?])[\s\"*]+")
@@ -65,11 +66,12 @@ def sentences_of(text: str | None) -> list[tuple[bytes, int]]:
         text = _MARKS.sub("", unicodedata.normalize("NFKD", text))
     if "<" in text:
         text = _TAG.sub(" ", text)
+    if _QUOTE.search(text):
+        text = _QUOTES.sub(lambda m: " " if len(m[0].split()) <= 3 or len(m[0][1:-1].split()) <= 3 else m[0], text)
     out = []
     for line in text.splitlines():
         if "\t" in line and _COUNTS.match(line):
             continue
-        line = _QUOTES.sub(lambda m: " " if len((m[1] or m[2] or m[3] or m[4] or "").split()) <= 3 else m[0], line)
         rest = [w for s in _SPLIT.split(line) if (w := _WORD.findall(s))]
         if sum(map(len, rest)) >= 3:
             out += [(f" {' '.join(w)} ".encode(), len(w)) for w in rest]
