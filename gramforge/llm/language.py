@@ -2,9 +2,9 @@
 
 Each language has a raw-content zstandard dictionary. A sentence is encoded with every dictionary and goes to
 the smallest; a narrow margin is rejected, and the sentence then follows its neighbours among the languages
-that are as good. Dictionaries start from labelled sentences and are widened once with sentences from a
-bounded sample of documents (``SAMPLE_DOCS``, by hash of the id) that the first dictionaries assign with a wide margin;
-the documents' own labels are not used, as they are unreliable.
+that are as good. Dictionaries start from labelled sentences and are widened twice with sentences of a
+bounded sample of documents (``SAMPLE_DOCS``, by hash of the id), which get the language that their texts as a whole
+are encoded best in. The documents' own labels are not used, as they are unreliable.
 """
 
 from __future__ import annotations
@@ -18,10 +18,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: labelled sentences that the dictionaries start from, at most
+SAMPLE_SENTENCES = 100_000
 #: documents (and their greatest length) that the dictionaries are widened with, and bytes of a dictionary
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 1_500, 20_000, 48_000
-#: share by which the smallest code must beat the next, else the sentence is rejected
-MARGIN, WIDE_MARGIN = 0.06, 0.25
+#: share and bytes by which the smallest code must beat the next, else the sentence is rejected
+MARGIN, MARGIN_BYTES = 0.06, 3
+#: for widening: how far below the next a text's code in its main language is, how many votes count as several, and what a majority is
+CLEAR_TEXT, SEVERAL, MAJORITY = 0.85, 3, 0.7
 #: words in another language that make a document mixed
 MIXED_WORDS = 12
 #: names and codes of the languages (fixed values: ISO 639-1, 639-2/B, 639-2/T, English and own names)
@@ -98,6 +102,9 @@ class Coder:
             self.coders.append(z.ZstdCompressor(dict_data=d, compression_params=p).compress)
         self.known: dict[bytes, list[int]] = {}
 
+    def size(self, folded: bytes, language: int) -> int:
+        return max(1, len(self.coders[language](folded)) - 9)
+
     def sizes(self, folded: list[bytes]) -> np.ndarray:
         """Bytes of each sentence in each language, without frame and block headers."""
         known, coders = self.known, self.coders
@@ -113,55 +120,52 @@ class Coder:
 
 
 def _shares(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Best language, margin to the next, and a confidence from the difference in bits, for each sentence."""
+    """Best language, whether its margin to the next is wide enough, and a confidence from the differences in bytes, for each sentence."""
     order = np.argsort(sizes, axis=1, kind="stable")
     two = np.take_along_axis(sizes, order[:, :2], 1)
-    margin = (two[:, 1] - two[:, 0]) / two[:, 1]
+    gap = two[:, 1] - two[:, 0]
     bits = np.exp2(-np.minimum(sizes - sizes.min(axis=1, keepdims=True), 60.0))
-    return order[:, 0], margin, bits.max(axis=1) / bits.sum(axis=1)
+    return order[:, 0], (gap >= MARGIN * two[:, 1]) & (gap >= MARGIN_BYTES), bits.max(axis=1) / bits.sum(axis=1)
 
 
 def widen(seed: dict[str, bytes], now: dict[str, bytes], texts: list[str], limit: int = DICTIONARY_BYTES) -> dict[str, bytes]:
-    """The seed's dictionaries with sentences of ``texts``, each given to the language with most votes.
+    """The seed's dictionaries with sentences of ``texts``.
 
-    A sentence votes for its text's main language unless it speaks clearly against it, in which case it votes for its own
-    best language if that is clear. Sentences without a clear majority of votes are left out.
+    A sentence votes for the main language of its text, which all sentences of the text decide together. One that
+    stands in several texts goes to the language with most votes, whatever the dictionaries say of it alone: mixed texts
+    are few. One seen less often is taken only if its own code agrees with its text.
     """
-    coder = Coder(now)
+    coder, first = Coder(now), Coder(seed)
     votes: dict[bytes, dict[int, int]] = {}
-    badly: set[bytes] = set()
-    for text in texts:
+    agrees: dict[bytes, bool] = {}
+    for text in dict.fromkeys(texts):  # a copied text votes once
         some = sentences_of(text)
         if not some:
             continue
         folded = [s for s, _ in some]
         sizes = coder.sizes(folded)
-        best, margin, _ = _shares(sizes)
-        total = np.sort(sizes.sum(axis=0))
-        main = int(sizes.sum(axis=0).argmin()) if total[0] <= 0.85 * total[1] else -1
-        for f, b, m, row in zip(folded, best, margin, sizes):
-            if main >= 0 and row[main] <= 1.35 * row.min():
-                pick = main
-            elif m >= WIDE_MARGIN:
-                pick = int(b)
-            else:
-                continue
+        total = sizes.sum(axis=0)
+        main = int(total.argmin())
+        if total[main] > CLEAR_TEXT * np.sort(total)[1]:
+            continue
+        for f, row in zip(folded, sizes):
             by = votes.setdefault(f, {})
-            by[pick] = by.get(pick, 0) + 1
-            if row[pick] > 0.25 * len(f):
-                badly.add(f)
+            by[main] = by.get(main, 0) + 1
+            agrees[f] = bool(row[main] <= row.min())
     out = {k: [v] for k, v in seed.items()}
     room = {k: limit - len(v) for k, v in seed.items()}
     for f, by in sorted(votes.items(), key=lambda x: (-sum(x[1].values()), x[0])):
         pick, most = max(by.items(), key=lambda x: x[1])
         k = coder.languages[pick]
-        if f in badly and most >= 0.7 * sum(by.values()) and room[k] >= len(f):
+        if most < MAJORITY * sum(by.values()) or (most < SEVERAL and not agrees[f]):
+            continue
+        if room[k] >= len(f) and first.size(f, pick) > 0.25 * len(f):  # what the seed encodes well needs no place
             out[k].append(f)
             room[k] -= len(f)
     return {k: b"".join(reversed(v)) for k, v in out.items()}  # what is seen most stands last, where matches are cheapest
 
 
-def train(samples: list[tuple[str, str]], texts: list[str], rounds: int = 3) -> dict[str, bytes]:
+def train(samples: list[tuple[str, str]], texts: list[str], rounds: int = 2) -> dict[str, bytes]:
     """Dictionaries of all languages, from labelled sentences and unlabelled texts."""
     seed: dict[str, bytes] = {}
     for lang, text in samples:
@@ -181,7 +185,7 @@ def assign(sizes: np.ndarray, best: np.ndarray, sure: np.ndarray) -> list[int]:
     main = int(sizes.sum(axis=0).argmin())
     certain = sure.tolist()
     for i in np.flatnonzero(~sure).tolist():
-        near = sizes[i] <= sizes[i].min() * (1 + MARGIN) + 1
+        near = sizes[i] <= max(sizes[i].min() / (1 - MARGIN), sizes[i].min() + MARGIN_BYTES)
         after = next((lang[j] for j in range(i + 1, len(lang)) if certain[j]), -1)
         lang[i] = next((x for x in (lang[i - 1] if i else -1, after, main) if x >= 0 and near[x]), lang[i])
     return lang
@@ -203,8 +207,7 @@ def segments(documents: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
             if not texts:
                 continue
             sizes = coder.sizes([s for _, some in texts for s, _ in some])
-            best, margin, conf = _shares(sizes)
-            sure = margin >= MARGIN
+            best, sure, conf = _shares(sizes)
             at = 0
             for i, some in texts:
                 here = slice(at, at + len(some))
@@ -224,8 +227,12 @@ def segments(documents: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
 
 def train_from(documents: DataFrame, samples: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict[str, bytes]:
     """Dictionaries from the labelled sentences and a bounded sample of the documents."""
-    known = [(r[0], r[1]) for r in samples.select("lang", "text").orderBy("lang", "text").limit(100_000).collect()]
-    texts = documents.where(F.col("text").isNotNull()).where(F.length("text") <= SAMPLE_CHARS).orderBy(F.xxhash64("doc_id"), "doc_id").select("text").limit(sample_docs).collect()
+    known = [(r[0], r[1]) for r in samples.select("lang", "text").orderBy("lang", "text").limit(SAMPLE_SENTENCES).collect()]
+    # by hash, cut to about twice the sample before sorting, so that no task sends more than its share
+    h = F.pmod(F.xxhash64("doc_id"), F.lit(2**31))
+    share = min(1.0, 2 * sample_docs / max(1, documents.count()))
+    few = documents.where(F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS) & (h < int(share * 2**31)))
+    texts = few.orderBy(h, "doc_id").select("text").limit(sample_docs).collect()
     return train(known, [r[0] for r in texts])
 
 
