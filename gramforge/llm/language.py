@@ -97,26 +97,25 @@ class Coder:
         self.coders = []
         for k in self.languages:
             d = z.ZstdCompressionDict(dictionaries[k], dict_type=z.DICT_TYPE_RAWCONTENT)
-            p = z.ZstdCompressionParameters(strategy=z.STRATEGY_DFAST, min_match=4, search_log=1, window_log=17, hash_log=15, chain_log=16, write_content_size=False, write_checksum=False, write_dict_id=False)
+            p = z.ZstdCompressionParameters(strategy=z.STRATEGY_DFAST, min_match=4, search_log=1, window_log=17, hash_log=13, chain_log=13, write_content_size=False, write_checksum=False, write_dict_id=False)
             d.precompute_compress(compression_params=p)
-            self.coders.append(z.ZstdCompressor(dict_data=d, compression_params=p).compress)
-        self.known: dict[bytes, list[int]] = {}
+            self.coders.append(z.ZstdCompressor(dict_data=d, compression_params=p))
+        self.known: dict[bytes, tuple[int, ...]] = {}
 
     def size(self, folded: bytes, language: int) -> int:
-        return max(1, len(self.coders[language](folded)) - 9)
+        return max(1, len(self.coders[language].compress(folded)) - 9)
 
     def sizes(self, folded: list[bytes]) -> np.ndarray:
         """Bytes of each sentence in each language, without frame and block headers."""
-        known, coders = self.known, self.coders
+        known = self.known
         if len(known) > MEMORY:
             known.clear()
-        out = []
-        for s in folded:
-            row = known.get(s)
-            if row is None:
-                row = known[s] = [max(1, len(c(s)) - 9) for c in coders]
-            out.append(row)
-        return np.array(out, np.float64).reshape(len(folded), len(coders))
+        new = list({s: None for s in folded if s not in known})
+        if new:
+            columns = [[max(1, len(x) - 9) for x in c.multi_compress_to_buffer(new, threads=1)] for c in self.coders]
+            known.update(zip(new, zip(*columns)))
+        out = [known[s] for s in folded]
+        return np.array(out, np.float64).reshape(len(folded), len(self.coders))
 
 
 def _shares(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
