@@ -13,7 +13,6 @@ U+FFFD stands for bytes that were lost; it is restored where just one known word
 
 from __future__ import annotations
 
-import codecs
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
