@@ -256,9 +256,9 @@ def optimize_mc(spark, sf):
     f = optimize.objective(_features(spark, sf), "mc", 3, K, T)
     rows = []
     for kind in ("default", "zeroes", "random"):
-        x, v = optimize.hill_climb(f, optimize.start("mc", 3, kind), step=1.0, least=0.01)
+        x, v = optimize.hill_climb(f, optimize.start("mc", 3, kind), step=1.0, least=0.1)
         rows.append(("hill climbing", kind, [round(a, 3) for a in x], round(v, 4)))
-    x, v = optimize.simplex(f, optimize.start("mc", 3), least=0.01)
+    x, v = optimize.simplex(f, optimize.start("mc", 3), least=0.1)
     rows.append(("simplex", "default", [round(a, 3) for a in x], round(v, 4)))
     return spark.createDataFrame(rows, "method string, start string, params array<double>, bits double")
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gramforge.operators.corpus import Corpus, known_sentences, windows
 from gramforge.plans import optimize, score
-from gramforge.plans.features import CONTEXT, distinct_positions, features, positions, stats_tables
+from gramforge.plans.features import CONTEXT, distinct_positions, features, stats_tables
 from gramforge.plans.smoothing import DEFAULTS, MODELS
 
 K, T = 2, 4
