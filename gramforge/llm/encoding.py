@@ -365,13 +365,25 @@ def find_damage(texts: DataFrame, column: str = "ngram") -> Damage:
     return Damage(materialize(whole.unionByName(lost_letters(types)), "damaged-tokens"), solved)
 
 
+def _odd_tokens(texts: DataFrame, id_column: str, column: str) -> tuple[DataFrame, DataFrame]:
+    """Rows with characters beyond ASCII (_id, _text), and their tokens that have such (_id, token)."""
+    odd = texts.where(F.col(column).rlike(r"[^\x00-\x7f]")).select(F.col(id_column).alias("_id"), F.col(column).alias("_text"))
+    each = odd.select("_id", F.explode(F.array_distinct(terms_of(F.col("_text")))).alias("token")).where(F.col("token").rlike(r"[^\x00-\x7f]"))
+    return odd, each
+
+
+def damaged_ids(texts: DataFrame, damage: DataFrame, id_column: str = "row_id", column: str = "ngram") -> DataFrame:
+    """The ids of the rows that hold a damaged token, each once."""
+    _, each = _odd_tokens(texts, id_column, column)
+    return each.join(damage.select("token"), "token", "left_semi").select(F.col("_id").alias(id_column)).distinct()
+
+
 def damaged_rows(texts: DataFrame, damage: DataFrame, id_column: str = "row_id", column: str = "ngram") -> DataFrame:
     """id, text, restored (null if a token can't be restored), sources of the rows that hold a damaged token.
 
     Rows with a null text hold none; repeated rows come out each; spacing is kept.
     """
-    odd = texts.where(F.col(column).rlike(r"[^\x00-\x7f]")).select(F.col(id_column).alias("_id"), F.col(column).alias("_text"))
-    each = odd.select("_id", F.explode(F.array_distinct(terms_of(F.col("_text")))).alias("token")).where(F.col("token").rlike(r"[^\x00-\x7f]"))
+    odd, each = _odd_tokens(texts, id_column, column)
     found = each.join(damage, "token").groupBy("_id").agg(
         F.sort_array(F.collect_list(F.struct("token", "original"))).alias("t"), F.sort_array(F.collect_set("source")).alias("sources")
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gramforge.llm.cooccurrence import cooccurrence, item_stats
 from gramforge.llm.contamination import leaked_spans, removal_spans
 from gramforge.llm.distinct_sketch import combinations, estimate, long_values, merge, sketch, week_start
-from gramforge.llm.encoding import damaged_rows, find_damage
+from gramforge.llm.encoding import damaged_ids, damaged_rows, find_damage
 from gramforge.llm.language import MIXED_WORDS, document_languages, label_language, segments, train_from
 from gramforge.llm.packing import packed
 from gramforge.llm.records import ngram_records, terms_of
@@ -69,7 +69,7 @@ def p6_combinations(spark: SparkSession, sf: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "ngram_files")
-    return damaged_rows(rows, find_damage(rows).tokens).select("row_id")
+    return damaged_ids(rows, find_damage(rows).tokens)
 
 
 def p5_restored(spark: SparkSession, sf: str) -> DataFrame:

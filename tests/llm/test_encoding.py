@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from gramforge.llm.encoding import damaged_rows, decipher, find_damage, sources
+from gramforge.llm.encoding import damaged_ids, damaged_rows, decipher, find_damage, sources
 
 
 def swap(text, written, read):
@@ -47,7 +47,9 @@ def made(spark):
 
 def test_found_and_restored(made):
     df, truth = made
-    got = {r["row_id"]: r for r in damaged_rows(df, find_damage(df).tokens).collect()}
+    damage = find_damage(df).tokens
+    got = {r["row_id"]: r for r in damaged_rows(df, damage).collect()}
+    assert sorted(r[0] for r in damaged_ids(df, damage).collect()) == sorted(got)
     assert {20_002, 20_005} <= set(got) and got[20_002]["restored"] == "gigéta x"
     found = set(got) - {20_002, 20_005}
     right = found & set(truth)
