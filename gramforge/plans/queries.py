@@ -247,8 +247,8 @@ def verify_norm(spark, sf):
 
 
 def request_patterns(spark, sf):
-    c = corpus(spark, sf)
-    return score.request_patterns(distinct_positions(known_sentences(c.sents, c.vocab)), "knmod")
+    """Patterns of all sentences: those with unknown words are skipped in scoring only (model.pl:481)."""
+    return score.request_patterns(distinct_positions(corpus(spark, sf).sents), "knmod")
 
 
 def optimize_mc(spark, sf):

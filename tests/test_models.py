@@ -220,3 +220,22 @@ def test_objective(made):
     assert values[0] == pytest.approx(total / words) and values[1] == pytest.approx(values[2])
     assert optimize.objective(feats, "kn", 3, K, T)([[2.0, 0.5, 0.5]]) == [1e9]
     assert [optimize.dimensions(m, 5) for m in ("mc", "kn", "knmod")] == [4, 7, 8]
+
+
+def test_request_patterns_of_sentences_with_unknown_words(spark, small):
+    """A sentence that scoring skips for a rare word asks for its patterns all the same: the query's SQL over all sentences."""
+    import duckdb
+
+    from compare import differences
+    from gramforge.plans import queries
+    from gramforge.plans.oracles import ORACLE
+
+    c = queries.corpus(spark, small)
+    words = {r[0] for r in c.sents.select(F.explode(F.slice("w", F.lit(2), F.size("w") - 2))).distinct().collect()}
+    got = queries.request_patterns(spark, small)
+    assert words - {r["w1"] for r in c.vocab.collect()} and words <= {r[0] for r in got.collect()}
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{small}/documents.parquet'")
+    head, tail = ORACLE["request_patterns"].split("known as materialized (", 1)
+    sql = f"{head}known as materialized (select * from sent), skipped as ({tail}"
+    assert differences(got, con, sql) == ""
