@@ -2,26 +2,29 @@
 
 Each language has a raw-content zstandard dictionary. A sentence is encoded with every dictionary and goes to
 the smallest; a narrow margin is rejected, and the sentence then follows its neighbours among the languages
-that are as good. Dictionaries start from labelled sentences and are widened twice with sentences of a
-bounded sample of documents (``SAMPLE_DOCS``, by hash of the id), which get the language that their texts as a whole
-are encoded best in. The documents' own labels are not used, as they are unreliable.
+that are as good. Dictionaries start from labelled sentences and are widened twice with sentences of the
+documents, which get the language that their texts as a whole are encoded best in: Spark counts the votes of all
+texts, and only the sentences with most votes of each language reach the driver. The documents' own labels are not
+used, as they are unreliable.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gramforge.session import materialize
+
 #: labelled sentences that the dictionaries start from, at most
 SAMPLE_SENTENCES = 100_000
-#: documents (and their greatest length) that the dictionaries are widened with, and bytes of a dictionary
-SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 1_500, 20_000, 48_000
+#: bytes of a dictionary
+DICTIONARY_BYTES = 48_000
 #: share and bytes by which the smallest code must beat the next, else the sentence is rejected
 MARGIN, MARGIN_BYTES = 0.06, 3
 #: for widening: how far below the next a text's code in its main language is, how many votes count as several, and what a majority is
@@ -127,55 +130,115 @@ def _shares(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order[:, 0], (gap >= MARGIN * two[:, 1]) & (gap >= MARGIN_BYTES), bits.max(axis=1) / bits.sum(axis=1)
 
 
+def votes_of(coder: Coder, text: str) -> list[tuple[bytes, int, int]]:
+    """(sentence, main language of its text, languages that encode it alone best, as bits); none if no language of the text is clear.
+
+    All sentences of a text decide together on its main language.
+    """
+    folded = [s for s, _ in sentences_of(text)]
+    if not folded:
+        return []
+    sizes = coder.sizes(folded)
+    total = sizes.sum(axis=0)
+    main = int(total.argmin())
+    if total[main] > CLEAR_TEXT * np.sort(total)[1]:
+        return []
+    least = (sizes <= sizes.min(axis=1, keepdims=True)) @ (1 << np.arange(sizes.shape[1]))
+    return [(f, main, k) for f, k in zip(folded, least.tolist())]
+
+
+def _extend(seed: dict[str, bytes], chosen: list[tuple[str, bytes]], limit: int) -> dict[str, bytes]:
+    """The seed's dictionaries with as many of the chosen sentences (language, sentence), most votes first, as there is room for."""
+    out = {k: [v] for k, v in seed.items()}
+    room = {k: limit - len(v) for k, v in seed.items()}
+    for k, f in chosen:
+        if room[k] >= len(f):
+            out[k].append(f)
+            room[k] -= len(f)
+    return {k: b"".join(reversed(v)) for k, v in out.items()}  # what is seen most stands last, where matches are cheapest
+
+
+def _is_new(first: Coder, sentence: bytes, language: int) -> bool:
+    """What the seed encodes well needs no place."""
+    return first.size(sentence, language) > 0.25 * len(sentence)
+
+
 def widen(seed: dict[str, bytes], now: dict[str, bytes], texts: list[str], limit: int = DICTIONARY_BYTES) -> dict[str, bytes]:
     """The seed's dictionaries with sentences of ``texts``.
 
-    A sentence votes for the main language of its text, which all sentences of the text decide together. One that
+    A sentence votes for the main language of its text. One that
     stands in several texts goes to the language with most votes, whatever the dictionaries say of it alone: mixed texts
     are few. One seen less often is taken only if its own code agrees with its text.
     """
     coder, first = Coder(now), Coder(seed)
     votes: dict[bytes, dict[int, int]] = {}
-    agrees: dict[bytes, bool] = {}
+    least: dict[bytes, int] = {}
     for text in dict.fromkeys(texts):  # a copied text votes once
-        some = sentences_of(text)
-        if not some:
-            continue
-        folded = [s for s, _ in some]
-        sizes = coder.sizes(folded)
-        total = sizes.sum(axis=0)
-        main = int(total.argmin())
-        if total[main] > CLEAR_TEXT * np.sort(total)[1]:
-            continue
-        for f, row in zip(folded, sizes):
+        for f, main, k in votes_of(coder, text):
             by = votes.setdefault(f, {})
             by[main] = by.get(main, 0) + 1
-            agrees[f] = bool(row[main] <= row.min())
-    out = {k: [v] for k, v in seed.items()}
-    room = {k: limit - len(v) for k, v in seed.items()}
-    for f, by in sorted(votes.items(), key=lambda x: (-sum(x[1].values()), x[0])):
+            least[f] = k
+    ranked = []
+    for f, by in votes.items():
         pick, most = max(by.items(), key=lambda x: x[1])
-        k = coder.languages[pick]
-        if most < MAJORITY * sum(by.values()) or (most < SEVERAL and not agrees[f]):
-            continue
-        if room[k] >= len(f) and first.size(f, pick) > 0.25 * len(f):  # what the seed encodes well needs no place
-            out[k].append(f)
-            room[k] -= len(f)
-    return {k: b"".join(reversed(v)) for k, v in out.items()}  # what is seen most stands last, where matches are cheapest
+        total = sum(by.values())
+        if most >= MAJORITY * total and (most >= SEVERAL or least[f] >> pick & 1) and _is_new(first, f, pick):
+            ranked.append((-total, f, coder.languages[pick]))
+    return _extend(seed, [(k, f) for _, f, k in sorted(ranked)], limit)
 
 
-def train(samples: list[tuple[str, str]], texts: list[str], rounds: int = 2) -> dict[str, bytes]:
-    """Dictionaries of all languages, from labelled sentences and unlabelled texts."""
+def widen_from(seed: dict[str, bytes], now: dict[str, bytes], texts: DataFrame, limit: int = DICTIONARY_BYTES) -> dict[str, bytes]:
+    """``widen`` with all rows of a table of different texts (column text)."""
+    languages = sorted(seed)
+
+    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = Coder(now)
+        for batch in batches:
+            counts: dict[tuple[bytes, int, int], int] = {}
+            for text in batch.column(0).to_pylist():
+                for key in votes_of(coder, text):
+                    counts[key] = counts.get(key, 0) + 1
+            if counts:
+                columns = [*zip(*counts), list(counts.values())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, [pa.binary(), pa.int32(), pa.int32(), pa.int64()])], names=["s", "main", "least", "n"])
+
+    def new(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = Coder(seed)
+        for batch in batches:
+            keep = [_is_new(first, f, k) for f, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    # one shuffle, by sentence: a column of votes for each language
+    by = [F.sum(F.when(F.col("main") == k, F.col("n")).otherwise(0)) for k in range(len(languages))]
+    votes = texts.mapInArrow(vote, "s binary, main int, least int, n long").groupBy("s").agg(F.array(*by).alias("by"), F.sum("n").alias("total"), F.max("least").alias("least"))
+    most = F.array_max("by")
+    picked = votes.select("s", (F.array_position("by", most) - 1).cast("int").alias("pick"), "total", most.alias("most"), "least")
+    clear = picked.where((F.col("most") >= MAJORITY * F.col("total")) & ((F.col("most") >= SEVERAL) | (F.expr("shiftright(least, pick) & 1") == 1)))
+    ranked = materialize(clear.select("s", "pick", "total").mapInArrow(new, "s binary, pick int, total long"), "language-votes")
+    chosen = []
+    for k, lang in enumerate(languages):
+        # a sentence has three bytes at least
+        top = ranked.where(F.col("pick") == k).orderBy(F.desc("total"), "s").limit(limit // 3).select("s").collect()
+        chosen += [(lang, bytes(r[0])) for r in top]
+    return _extend(seed, chosen, limit)
+
+
+def _train(samples: list[tuple[str, str]], rounds: int, wider: Callable[[dict[str, bytes], dict[str, bytes]], dict[str, bytes]]) -> dict[str, bytes]:
     seed: dict[str, bytes] = {}
     for lang, text in samples:
         if lang and text:
             seed[lang] = seed.get(lang, b"") + fold(text)
     now = seed
-    for _ in range(rounds if texts else 0):
-        now = widen(seed, {k: (now[k] + v if now is not seed else v) for k, v in seed.items()}, texts)
+    for _ in range(rounds):
+        now = wider(seed, {k: (now[k] + v if now is not seed else v) for k, v in seed.items()})
     return now
 
 
+def train(samples: list[tuple[str, str]], texts: list[str], rounds: int = 2) -> dict[str, bytes]:
+    """Dictionaries of all languages, from labelled sentences and unlabelled texts."""
+    return _train(samples, rounds if texts else 0, lambda seed, now: widen(seed, now, texts))
+
+
 def assign(sizes: np.ndarray, best: np.ndarray, sure: np.ndarray) -> list[int]:
     """A language per sentence of a text: the best, or where rejected what its neighbours or the text have among the equally good."""
     lang = best.tolist()
@@ -224,15 +287,11 @@ def segments(documents: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
     return documents.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _SEGMENTS)
 
 
-def train_from(documents: DataFrame, samples: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict[str, bytes]:
-    """Dictionaries from the labelled sentences and a bounded sample of the documents."""
+def train_from(documents: DataFrame, samples: DataFrame, rounds: int = 2) -> dict[str, bytes]:
+    """Dictionaries from the labelled sentences and all documents; a copied text votes once."""
     known = [(r[0], r[1]) for r in samples.select("lang", "text").orderBy("lang", "text").limit(SAMPLE_SENTENCES).collect()]
-    # by hash, cut to about twice the sample before sorting, so that no task sends more than its share
-    h = F.pmod(F.xxhash64("doc_id"), F.lit(2**31))
-    share = min(1.0, 2 * sample_docs / max(1, documents.count()))
-    few = documents.where(F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS) & (h < int(share * 2**31)))
-    texts = few.orderBy(h, "doc_id").select("text").limit(sample_docs).collect()
-    return train(known, [r[0] for r in texts])
+    texts = documents.where(F.col("text").isNotNull()).select("text").distinct()
+    return _train(known, rounds, lambda seed, now: widen_from(seed, now, texts))
 
 
 def document_languages(parts: DataFrame) -> DataFrame:

@@ -68,3 +68,11 @@ def test_labels(spark):
     cases = {"en": "en", "EN-gb": "en", "en_US": "en", " English ": "en", "deu": "de", "Deutsch": "de", "nl-BE": "nl", "und": None, "": None, "??": None, None: None, "zxx": None, "por": "pt", "fre": "fr"}
     df = spark.createDataFrame([(k,) for k in cases], "l string")
     assert {r[0]: r[1] for r in df.select("l", label_language(F.col("l"))).collect()} == cases
+
+
+def test_all_documents_widen_the_dictionaries(spark, samples, learned):
+    """Long texts and every document take part: the same dictionaries as from a list of all texts."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text is not null")
+    texts = [r["text"] for r in docs.select("text").collect()]
+    assert any(len(t) > 20_000 for t in texts)
+    assert learned == train(sorted(samples), texts)
