@@ -252,14 +252,14 @@ def request_patterns(spark, sf):
 
 
 def optimize_mc(spark, sf):
-    """Hill climbing and simplex from three starts, order 3: they end at the same bits per word."""
-    f = optimize.objective(_features(spark, sf), "mc", 3, K, T)
+    """Hill climbing from three starts and simplex, all four parameters, until a step is below 1e-4: they end at the same bits per word."""
+    f = optimize.objective(_features(spark, sf), "mc", 5, K, T)
     rows = []
     for kind in ("default", "zeroes", "random"):
-        x, v = optimize.hill_climb(f, optimize.start("mc", 3, kind), step=1.0, least=0.1)
-        rows.append(("hill climbing", kind, [round(a, 3) for a in x], round(v, 4)))
-    x, v = optimize.simplex(f, optimize.start("mc", 3), least=0.1)
-    rows.append(("simplex", "default", [round(a, 3) for a in x], round(v, 4)))
+        x, v = optimize.hill_climb(f, optimize.start("mc", 5, kind), step=1.0)
+        rows.append(("hill climbing", kind, [round(a, 4) for a in x], round(v, 6)))
+    x, v = optimize.simplex(f, optimize.start("mc", 5))
+    rows.append(("simplex", "default", [round(a, 4) for a in x], round(v, 6)))
     return spark.createDataFrame(rows, "method string, start string, params array<double>, bits double")
 
 

@@ -239,3 +239,22 @@ def test_request_patterns_of_sentences_with_unknown_words(spark, small):
     head, tail = ORACLE["request_patterns"].split("known as materialized (", 1)
     sql = f"{head}known as materialized (select * from sent), skipped as ({tail}"
     assert differences(got, con, sql) == ""
+
+
+def test_optimize_mc_moves_all_parameters_to_the_optimum(spark, small, monkeypatch):
+    """The query on a smooth function in place of the corpus: every start ends at its optimum."""
+    from gramforge.plans import queries
+
+    best = [3.3, 1.7, 2.2, 4.1]
+    asked = []
+
+    def smooth(feats, model, order, *thresholds):
+        asked.append((model, order))
+        return lambda points: [8 + sum((a - b) ** 2 for a, b in zip(p, best[: order - 1])) + 0.3 * p[0] * p[1] for p in points]
+
+    monkeypatch.setattr(optimize, "objective", smooth)
+    monkeypatch.setattr(queries, "_features", lambda spark, sf: None)
+    rows = queries.optimize_mc(spark, small).collect()
+    assert asked == [("mc", 5)] and len(rows) == 4
+    assert all(len(r["params"]) == 4 and r["params"][2:] == pytest.approx(best[2:], abs=2e-3) for r in rows)
+    assert max(r["bits"] for r in rows) - min(r["bits"] for r in rows) < 1e-4
