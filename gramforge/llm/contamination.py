@@ -184,15 +184,22 @@ class _Search:
         windows: list[tuple[int, int, int, int]] = []
         for a, b in _groups(item):
             windows += self._windows(int(item[a]), at[a:b], doc[a:b], self.offset[which[a:b]], words, doc_start)
-        windows.sort(key=lambda x: (-len(self.items.words[x[0]]), x))
         out = []
-        for c in range(0, len(windows), 256):
-            some = windows[c : c + 256]
-            found = align_all([self.items.words[k] for k, *_ in some], [words[lo:hi] for _, _, lo, hi in some])
-            for (k, d, lo, _), best in zip(some, found):
-                if best:
-                    base = lo - int(doc_start[d]) + int(word_base[d])
-                    out.append((int(ids[d]), self.items.ids[k], base + best[0], base + best[1], len(self.items.words[k]), best[2], best[3]))
+        while windows:
+            windows.sort(key=lambda x: (-len(self.items.words[x[0]]), x))
+            rest: list[tuple[int, int, int, int]] = []
+            for c in range(0, len(windows), 256):
+                some = windows[c : c + 256]
+                found = align_all([self.items.words[k] for k, *_ in some], [words[lo:hi] for _, _, lo, hi in some])
+                for (k, d, lo, hi), best in zip(some, found):
+                    if best:
+                        base = lo - int(doc_start[d]) + int(word_base[d])
+                        n = len(self.items.words[k])
+                        out.append((int(ids[d]), self.items.ids[k], base + best[0], base + best[1], n, best[2], best[3]))
+                        # another passage may stand before or after it
+                        least = max(1, needed(n) - needed(n) // EDIT_EVERY)
+                        rest += [(k, d, x, y) for x, y in ((lo, lo + best[0]), (lo + best[1], hi)) if y - x >= least]
+            windows = rest
         return out
 
     def _windows(self, k: int, at: np.ndarray, doc: np.ndarray, offset: np.ndarray, words: np.ndarray, doc_start: np.ndarray) -> list[tuple[int, int, int, int]]:

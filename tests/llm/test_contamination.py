@@ -149,3 +149,11 @@ def test_long_text_in_pieces(spark):
     items = spark.createDataFrame([(5, passage)], "item_id long, text string")
     got = {(r["start_word"], r["end_word"]) for r in leaked_spans(docs, items, 2_000).collect()}
     assert got == {(30_000, 30_040)}
+
+
+def test_two_passages_of_an_item_close_together(spark):
+    w = [f"p{i}" for i in range(80)]
+    between = [f"x{i}" for i in range(15)]
+    items = spark.createDataFrame([(1, " ".join(w))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, " ".join(["a", *w[:40], *between, *w[40:], "b"]))], "doc_id long, text string")
+    assert {(r["start_word"], r["end_word"]) for r in removal_spans(leaked_spans(docs, items)).collect()} == {(1, 41), (56, 96)}
