@@ -64,3 +64,53 @@ def test_clean_and_empty(spark):
     assert damaged_rows(clean.limit(0), find_damage(clean.limit(0)).tokens).count() == 0
     long = spark.createDataFrame([(1, "é" * 50_000 + " " + "x " * 50_000)], "row_id long, ngram string")
     assert damaged_rows(long, find_damage(long).tokens).count() == 0
+
+
+LATIN, CYRILLIC = "aeiounsrtlkdmgbvfpéèùôüñäøşõ", "оеаинтсрвлкмдпуяыьгзбчйхжшюцщэф"
+
+
+def _vocabulary(r, letters, size):
+    """Words of a language in which each letter is followed by some letters more than by others."""
+    often = [1 / (i + 2) for i in range(len(letters))]
+    after = {a: [r.random() ** 4 * f for f in often] for a in letters}
+    words = []
+    while len(words) < size:
+        w = r.choices(letters, often)[0]
+        while len(w) < 3 or (r.random() < 0.78 and len(w) < 10):
+            w += r.choices(letters, after[w[-1]])[0]
+        words.append(w)
+    return words
+
+
+def _permutation(r):
+    """The high half of a page read with its bytes in any order."""
+    high = [bytes([b]).decode("latin-1") for b in range(0xA1, 0x100)]
+    other = high[:]
+    r.shuffle(other)
+    return str.maketrans("".join(high), "".join(other))
+
+
+@pytest.mark.parametrize("kind", ["koi8-r read as mac_cyrillic", "cp855 read as cp866", "latin-1, bytes in any order", "utf-8 read as hp_roman8"])
+def test_pages_that_no_table_covers(spark, kind):
+    """The mapping is learned from an open start: found and restored as well as pages that are known."""
+    r = random.Random(11)
+    cyrillic = "cp855" in kind or "koi8" in kind
+    words = _vocabulary(r, CYRILLIC if cyrillic else LATIN, 600)
+    if "any order" in kind:
+        order = _permutation(r)
+        damaged = lambda t: t.translate(order) if all(ord(c) < 256 for c in t) else t
+    else:
+        written, read = kind.split(" read as ")
+        damaged = lambda t: swap(t, written, read) or t
+    rows, truth = [], {}
+    for i in range(12_000):
+        text = " ".join(words[min(int(r.paretovariate(0.6)) - 1, len(words) - 1)] for _ in range(r.choice([2, 3])))
+        if r.random() < 0.03 and (bad := damaged(text)) != text:
+            truth[i], text = text, bad
+        rows.append((i, text))
+    found = find_damage(spark.createDataFrame(rows, "row_id long, ngram string"))
+    assert any(c.name.startswith("learned") for c in found.solved.model.ciphers)
+    got = {x["row_id"]: x["restored"] for x in damaged_rows(spark.createDataFrame(rows, "row_id long, ngram string"), found.tokens).collect()}
+    both = set(got) & set(truth)
+    assert len(both) >= 0.95 * len(truth) and len(both) >= 0.95 * len(got), (len(got), len(truth), len(both))
+    assert sum(got[i] == truth[i] for i in both) >= 0.95 * len(both)
