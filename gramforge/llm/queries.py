@@ -17,7 +17,7 @@ from gramforge.session import materialize, shared_dir, table
 
 
 def _term_store(spark: SparkSession, sf: str) -> TermCountStore:
-    return load_by_delivery(TermCountStore(spark, shared_dir(spark, "term-counts")), table(spark, sf, "ngram_files"))
+    return load_by_delivery(spark, shared_dir(spark, "term-counts"), table(spark, sf, "ngram_files"))
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
