@@ -21,14 +21,14 @@ from pyspark.sql import functions as F
 
 from gramforge.session import materialize
 
-#: labelled sentences that the dictionaries start from, at most
-SAMPLE_SENTENCES = 100_000
-#: bytes of a dictionary
-DICTIONARY_BYTES = 48_000
+#: bytes of a dictionary, and of the labelled sentences of a language that it starts from, at most: those with the lowest hashes
+DICTIONARY_BYTES, SEED_BYTES = 48_000, 24_000
 #: share and bytes by which the smallest code must beat the next, else the sentence is rejected
 MARGIN, MARGIN_BYTES = 0.06, 3
 #: for widening: how far below the next a text's code in its main language is, how many votes count as several, and what a majority is
 CLEAR_TEXT, SEVERAL, MAJORITY = 0.85, 3, 0.7
+#: share of its bytes that a sentence's code under the seed must exceed to be worth a place
+NEW = 0.25
 #: words in another language that make a document mixed
 MIXED_WORDS = 12
 #: names and codes of the languages (fixed values: ISO 639-1, 639-2/B, 639-2/T, English and own names)
@@ -42,8 +42,9 @@ NAMES = {
     "pt": ["pt", "por", "portuguese", "português", "portugues"],
 }
 _QUOTE = re.compile('["«„“]')
-_QUOTES = re.compile('"[^"\n]{0,60}"|«[^»\n]{0,60}»|„[^“”\n]{0,60}[“”]|“[^”\n]{0,60}”')
-_TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,80}>")
+#: quotations of up to three words, however long these are; straight quotes stand at words, as they don't tell begin from end
+_QUOTES = re.compile(r'"(?:[^"\s]+\s+){0,2}[^"\s]+"|«\s*(?:[^»\s]+\s+){0,2}[^»\s]*\s*»|„\s*(?:[^“”\s]+\s+){0,2}[^“”\s]*\s*[“”]|“\s*(?:[^”\s]+\s+){0,2}[^”\s]*\s*”')
+_TAG = re.compile(r"</?[A-Za-z][^<>\n]*>")
 _COUNTS = re.compile(r"^[^\t]*(\t\d+)+\s*$")
 _SPLIT = re.compile(r"(?<=[.!?])[\s\"*]+")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -74,7 +75,7 @@ def sentences_of(text: str | None) -> list[tuple[bytes, int]]:
     if "<" in text:
         text = _TAG.sub(" ", text)
     if _QUOTE.search(text):
-        text = _QUOTES.sub(lambda m: " " if len(m[0].split()) <= 3 or len(m[0][1:-1].split()) <= 3 else m[0], text)
+        text = "\n".join(_QUOTES.sub(" ", line) for line in text.splitlines())
     out = []
     for line in text.splitlines():
         if "\t" in line and _COUNTS.match(line):
@@ -130,12 +131,11 @@ def _shares(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order[:, 0], (gap >= MARGIN * two[:, 1]) & (gap >= MARGIN_BYTES), bits.max(axis=1) / bits.sum(axis=1)
 
 
-def votes_of(coder: Coder, text: str) -> list[tuple[bytes, int, int]]:
-    """(sentence, main language of its text, languages that encode it alone best, as bits); none if no language of the text is clear.
+def votes_of(coder: Coder, folded: list[bytes]) -> list[tuple[bytes, int, int]]:
+    """For the sentences of a text: (sentence, main language of the text, languages that encode it alone best, as bits); none if no language of the text is clear.
 
     All sentences of a text decide together on its main language.
     """
-    folded = [s for s, _ in sentences_of(text)]
     if not folded:
         return []
     sizes = coder.sizes(folded)
@@ -160,7 +160,7 @@ def _extend(seed: dict[str, bytes], chosen: list[tuple[str, bytes]], limit: int)
 
 def _is_new(first: Coder, sentence: bytes, language: int) -> bool:
     """What the seed encodes well needs no place."""
-    return first.size(sentence, language) > 0.25 * len(sentence)
+    return first.size(sentence, language) > NEW * len(sentence)
 
 
 def widen(seed: dict[str, bytes], now: dict[str, bytes], texts: list[str], limit: int = DICTIONARY_BYTES) -> dict[str, bytes]:
@@ -170,11 +170,13 @@ def widen(seed: dict[str, bytes], now: dict[str, bytes], texts: list[str], limit
     stands in several texts goes to the language with most votes, whatever the dictionaries say of it alone: mixed texts
     are few. One seen less often is taken only if its own code agrees with its text.
     """
+    from xxhash import xxh3_128_digest
+
     coder, first = Coder(now), Coder(seed)
     votes: dict[bytes, dict[int, int]] = {}
     least: dict[bytes, int] = {}
     for text in dict.fromkeys(texts):  # a copied text votes once
-        for f, main, k in votes_of(coder, text):
+        for f, main, k in votes_of(coder, [f for f, _ in sentences_of(text)]):
             by = votes.setdefault(f, {})
             by[main] = by.get(main, 0) + 1
             least[f] = k
@@ -183,44 +185,77 @@ def widen(seed: dict[str, bytes], now: dict[str, bytes], texts: list[str], limit
         pick, most = max(by.items(), key=lambda x: x[1])
         total = sum(by.values())
         if most >= MAJORITY * total and (most >= SEVERAL or least[f] >> pick & 1) and _is_new(first, f, pick):
-            ranked.append((-total, f, coder.languages[pick]))
-    return _extend(seed, [(k, f) for _, f, k in sorted(ranked)], limit)
+            ranked.append((-total, xxh3_128_digest(f), f, coder.languages[pick]))
+    return _extend(seed, [(k, f) for _, _, f, k in sorted(ranked)], limit)
+
+
+def parsed_texts(documents: DataFrame) -> DataFrame:
+    """The sentences (s) of each different text, written once for all rounds: a copied text votes once."""
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [some for text in batch.column(0).to_pylist() if (some := [f for f, _ in sentences_of(text)])]
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.binary()))], names=["s"])
+
+    texts = documents.where(F.col("text").isNotNull()).select("text").distinct()
+    return materialize(texts.mapInArrow(parse, "s array<binary>"), "sentences")
 
 
 def widen_from(seed: dict[str, bytes], now: dict[str, bytes], texts: DataFrame, limit: int = DICTIONARY_BYTES) -> dict[str, bytes]:
-    """``widen`` with all rows of a table of different texts (column text)."""
+    """``widen`` with all rows of ``parsed_texts``.
+
+    Sentences are counted by a 128-bit hash; the texts of those chosen, no more than the dictionaries hold, are fetched at the end.
+    """
     languages = sorted(seed)
+    sent = texts.sparkSession.sparkContext.broadcast((seed, now))
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(now)
-        for batch in batches:
-            counts: dict[tuple[bytes, int, int], int] = {}
-            for text in batch.column(0).to_pylist():
-                for key in votes_of(coder, text):
-                    counts[key] = counts.get(key, 0) + 1
-            if counts:
-                columns = [*zip(*counts), list(counts.values())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, [pa.binary(), pa.int32(), pa.int32(), pa.int64()])], names=["s", "main", "least", "n"])
+        from xxhash import xxh3_128_digest
 
-    def new(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = Coder(seed)
+        coder, first = Coder(sent.value[1]), Coder(sent.value[0])
         for batch in batches:
-            keep = [_is_new(first, f, k) for f, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            counts: dict[tuple[bytes, int], list] = {}
+            for folded in batch.column(0).to_pylist():
+                for f, main, least in votes_of(coder, folded):
+                    seen = counts.get((f, main))
+                    if seen is None:
+                        counts[f, main] = [1, least, _is_new(first, f, main)]
+                    else:
+                        seen[0] += 1
+            if counts:
+                columns = [[xxh3_128_digest(f) for f, _ in counts], [m for _, m in counts], [len(f) for f, _ in counts], *zip(*counts.values())]
+                kinds = [pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.bool_()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, kinds)], names=["h", "main", "bytes", "n", "least", "fresh"])
 
     # one shuffle, by sentence: a column of votes for each language
     by = [F.sum(F.when(F.col("main") == k, F.col("n")).otherwise(0)) for k in range(len(languages))]
-    votes = texts.mapInArrow(vote, "s binary, main int, least int, n long").groupBy("s").agg(F.array(*by).alias("by"), F.sum("n").alias("total"), F.max("least").alias("least"))
+    fresh = [F.bool_or(F.when(F.col("main") == k, F.col("fresh")).otherwise(False)) for k in range(len(languages))]
+    votes = texts.mapInArrow(vote, "h binary, main int, bytes int, n long, least int, fresh boolean").groupBy("h", "bytes").agg(F.array(*by).alias("by"), F.array(*fresh).alias("fresh"), F.sum("n").alias("total"), F.max("least").alias("least"))
     most = F.array_max("by")
-    picked = votes.select("s", (F.array_position("by", most) - 1).cast("int").alias("pick"), "total", most.alias("most"), "least")
-    clear = picked.where((F.col("most") >= MAJORITY * F.col("total")) & ((F.col("most") >= SEVERAL) | (F.expr("shiftright(least, pick) & 1") == 1)))
-    ranked = materialize(clear.select("s", "pick", "total").mapInArrow(new, "s binary, pick int, total long"), "language-votes")
-    chosen = []
+    picked = votes.select("h", "bytes", (F.array_position("by", most) - 1).cast("int").alias("pick"), "total", most.alias("most"), "least", "fresh")
+    clear = picked.where((F.col("most") >= MAJORITY * F.col("total")) & ((F.col("most") >= SEVERAL) | (F.expr("shiftright(least, pick) & 1") == 1)) & F.expr("fresh[pick]") & (F.col("bytes") <= limit))
+    ranked = materialize(clear.select("h", "bytes", "pick", "total"), "language-votes")
+    chosen: dict[bytes, tuple[int, str]] = {}
     for k, lang in enumerate(languages):
+        room = limit - len(seed[lang])
         # a sentence has three bytes at least
-        top = ranked.where(F.col("pick") == k).orderBy(F.desc("total"), "s").limit(limit // 3).select("s").collect()
-        chosen += [(lang, bytes(r[0])) for r in top]
-    return _extend(seed, chosen, limit)
+        for r in ranked.where(F.col("pick") == k).orderBy(F.desc("total"), "h").limit(limit // 3).select("h", "bytes").collect():
+            if r["bytes"] <= room:
+                chosen[bytes(r["h"])] = (len(chosen), lang)
+                room -= r["bytes"]
+    asked = texts.sparkSession.sparkContext.broadcast(frozenset(chosen))
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_128_digest
+
+        for batch in batches:
+            found = {f for folded in batch.column(0).to_pylist() for f in folded if xxh3_128_digest(f) in asked.value}
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.binary())], names=["f"])
+
+    from xxhash import xxh3_128_digest
+
+    texts_of = {xxh3_128_digest(f): f for r in texts.mapInArrow(fetch, "f binary").distinct().collect() for f in [bytes(r[0])]}
+    return _extend(seed, [(lang, texts_of[h]) for h, (_, lang) in sorted(chosen.items(), key=lambda x: x[1])], limit)
 
 
 def _train(samples: list[tuple[str, str]], rounds: int, wider: Callable[[dict[str, bytes], dict[str, bytes]], dict[str, bytes]]) -> dict[str, bytes]:
@@ -287,11 +322,25 @@ def segments(documents: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
     return documents.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _SEGMENTS)
 
 
+def seeds(samples: DataFrame, limit: int = SEED_BYTES) -> list[tuple[str, str]]:
+    """(lang, text) of labelled sentences: of each language those with the lowest hashes, at most ``limit`` bytes in all.
+
+    A language with far more is thinned out by hash first, so that no task gets all of it. Sentences longer than the limit are left out.
+    """
+    from pyspark.sql import Window
+
+    known = samples.where("lang is not null and text is not null").select("lang", "text").distinct().select("*", F.octet_length("text").alias("bytes"), F.xxhash64("text").alias("h")).where(F.col("bytes") <= limit)
+    whole = known.groupBy("lang").agg(F.sum("bytes").alias("all"))
+    share = (F.col("h").cast("double") / 2.0**64 + 0.5) * F.col("all")  # the bytes before it, about
+    few = known.join(F.broadcast(whole), "lang").where(share <= 8.0 * limit)
+    before = F.sum("bytes").over(Window.partitionBy("lang").orderBy("h", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return [(r[0], r[1]) for r in few.withColumn("sum", before).where(F.col("sum") <= limit).orderBy("lang", "text").select("lang", "text").collect()]
+
+
 def train_from(documents: DataFrame, samples: DataFrame, rounds: int = 2) -> dict[str, bytes]:
-    """Dictionaries from the labelled sentences and all documents; a copied text votes once."""
-    known = [(r[0], r[1]) for r in samples.select("lang", "text").orderBy("lang", "text").limit(SAMPLE_SENTENCES).collect()]
-    texts = documents.where(F.col("text").isNotNull()).select("text").distinct()
-    return _train(known, rounds, lambda seed, now: widen_from(seed, now, texts))
+    """Dictionaries from labelled sentences and all documents."""
+    texts = parsed_texts(documents)
+    return _train(seeds(samples), rounds, lambda seed, now: widen_from(seed, now, texts))
 
 
 def document_languages(parts: DataFrame) -> DataFrame:

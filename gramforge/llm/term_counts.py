@@ -19,7 +19,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gramforge.llm.records import terms_of
-from gramforge.session import shuffle_partitions
 
 RARE_BELOW = 200
 COMMON_SHARE = (1, 20)
@@ -93,9 +92,9 @@ class TermCountStore:
         return self.spark.read.schema(f"{_COUNTS}, bucket int").option("basePath", f"{self.path}/counts").parquet(*folders).select("term", "occurrences", "records", "bucket")
 
     def _write_records(self, records: DataFrame, gen: int) -> DataFrame:
-        """By part, one of many keys by several tasks; returns what was written."""
-        path, n = f"{self.path}/records/gen={gen}", shuffle_partitions(self.spark)
-        spread = records.withColumn("part", self._part()).repartition(n, "part", F.pmod(F.xxhash64("k2"), F.lit(max(1, n // self.buckets))))
+        """By part; adaptive execution splits a part of many records over several tasks. Returns what was written."""
+        path = f"{self.path}/records/gen={gen}"
+        spread = records.withColumn("part", self._part()).hint("rebalance", F.col("part"))
         spread.write.mode("overwrite").partitionBy("part").parquet(path)
         return self.spark.read.schema(spread.schema).parquet(path)
 
@@ -141,7 +140,7 @@ class TermCountStore:
         deltas = self.spark.read.schema(deltas.schema).parquet(draft)
         buckets = sorted(r[0] for r in deltas.select("bucket").distinct().collect())
         counts = self._old_counts(buckets).unionByName(deltas).groupBy("bucket", "term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records")).where("records > 0")
-        counts.repartition(self.buckets, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/counts/gen={gen}")
+        counts.hint("rebalance", F.col("bucket")).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/counts/gen={gen}")
         by_part = batch.groupBy("part").agg(F.sum(F.col("alive").cast("long") - F.col("was_alive").cast("long")).alias("n")).collect()
         parts = {**self.state["parts"]}
         for r in by_part:

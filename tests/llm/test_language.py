@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from gramforge.llm.language import document_languages, fold, label_language, segments, sentences_of, train, train_from
+from gramforge.llm.language import document_languages, fold, label_language, seeds, segments, sentences_of, train, train_from
 
 
 @pytest.fixture(scope="module")
@@ -75,4 +75,19 @@ def test_all_documents_widen_the_dictionaries(spark, samples, learned):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text is not null")
     texts = [r["text"] for r in docs.select("text").collect()]
     assert any(len(t) > 20_000 for t in texts)
-    assert learned == train(sorted(samples), texts)
+    assert learned == train(sorted(set(samples)), texts)
+
+
+def test_seeds_of_every_language(spark):
+    """However many labelled sentences one language has, the others keep theirs."""
+    rows = [("de", f"Satz {i} " + "wort " * 5) for i in range(3000)] + [("pt", "uma frase"), ("pt", "uma frase"), ("nl", None), (None, "x"), ("zz", "y" * 5000)]
+    got = seeds(spark.createDataFrame(rows, "lang string, text string"), limit=2000)
+    assert {lang for lang, _ in got} == {"de", "pt"} and [x for x in got if x[0] == "pt"] == [("pt", "uma frase")]
+    size = sum(len(t) for lang, t in got if lang == "de")
+    assert 1900 < size <= 2000
+
+
+def test_quotations_and_tags_of_any_length(spark):
+    long = "x" * 100
+    assert sentences_of(f'One two "{long} {long} {long}" three <b class="{long}">four</b>') == sentences_of("One two three four")
+    assert [k for _, k in sentences_of('He said "one two three four" and "five" then')] == [8]
