@@ -1,10 +1,11 @@
 """The rule-based tokenizer: an ordered chain of substitutions, then a split at white space.
 
-Everything is a Column expression inside the JVM; ``tokenizer_sql`` renders the same rules for DuckDB.
+Everything is a Column expression inside the JVM.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -12,27 +13,28 @@ from pyspark.sql import functions as F
 
 _ALWAYS = r"[!\"$%()?@\[\\\]^_{|}~]"
 
+
+
+@dataclass(frozen=True)
+class Outside:
+    """Signs that always stand alone, but for those in a whole that stays (a marker, an entity): the line is cut at the wholes, and signs are
+    set apart in the parts between them."""
+
+    whole: str
+    signs: str
+
+
 # The substitutions that define the tokenization, in their order. Each group: a pattern without which a line
 # isn't changed by it, and its substitutions (pattern, replacement, passes).
-GROUPS: list[tuple[str, list[tuple[str, str, int]]]] = [
+GROUPS: list[tuple[str, list[tuple[str, str, int]] | Outside]] = [
     # punctuation that always stands alone
     (_ALWAYS, [(rf"(\S)({_ALWAYS})", "$1 $2", 1), (rf"({_ALWAYS})(\S)", "$1 $2", 1)]),
     # angle brackets, unless they are part of a marker
-    (r"[<>]", [(r"<(S|/S|UNK)>", "_$1_", 1), (r"(\S)([<>])", "$1 $2", 1), (r"([<>])(\S)", "$1 $2", 1), (r"_(S|/S|UNK)_", "<$1>", 1)]),
+    (r"[<>]", Outside(r"<(?:S|/S|UNK)>", r"[<>]")),
     # backtick, unless beside another
     (r"`", [(r"([^`\s])(`)", "$1 $2", 1), (r"(`)([^`\s])", "$1 $2", 1)]),
     # ampersand, number sign and semicolon, unless they form an entity
-    (
-        r"[&#;]",
-        [
-            (r"&#(\S+);", "_AB_$1_C_", 1),
-            (r"&(\S+);", "_A_$1_C_", 1),
-            (r"(\S)([&#;])", "$1 $2", 1),
-            (r"([&#;])(\S)", "$1 $2", 1),
-            (r"_A_(\S+)_C_", "&$1;", 1),
-            (r"_AB_(\S+)_C_", "&#$1;", 1),
-        ],
-    ),
+    (r"[&#;]", Outside(r"&#?[^\s&#;]+;", r"[&#;]")),
     # star and equals beside letters and digits; plus, comma and colon beside letters
     (r"[*=]", [(r"([\pL\pN])([*=])", "$1 $2", 1), (r"([*=])([\pL\pN])", "$1 $2", 1)]),
     (r"[+,:]", [(r"(\pL)([+,:])", "$1 $2", 1), (r"([+,:])(\pL)", "$1 $2", 1)]),
@@ -46,7 +48,6 @@ GROUPS: list[tuple[str, list[tuple[str, str, int]]]] = [
     (r"\.", [(r"(\w)(\.\W*)$", "$1 $2", 1)]),
     (r"[A-Z]\.[A-Z]", [(r"([A-Z]\.)([A-Z]\.)", "$1 $2", 2)]),
 ]
-RULES = [rule for _, rules in GROUPS for rule in rules]
 START, END, UNKNOWN = "<S>", "</S>", "<UNK>"
 
 
@@ -55,10 +56,16 @@ def _apply(text: Column, rules: list[tuple[str, str, int]]) -> Column:
     return reduce(lambda c, step: F.regexp_replace(c, F.lit(step[0]), F.lit(step[1])), steps, text)
 
 
-def _guarded(text: Column, guard: str, rules: list[tuple[str, str, int]]) -> Column:
+def _outside(text: Column, cut: Outside) -> Column:
+    parts = F.transform(F.split(text, cut.whole, -1), lambda part: F.regexp_replace(part, F.lit(f"({cut.signs})"), F.lit(" $1 ")))
+    kept = F.regexp_extract_all(text, F.lit(cut.whole), F.lit(0))
+    return F.array_join(F.zip_with(parts, kept, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+
+
+def _guarded(text: Column, guard: str, rules: list[tuple[str, str, int]] | Outside) -> Column:
     """A group of rules, passed over for lines it can't change. The line is bound once, as a lambda's variable:
     written out, each group would repeat all those before it."""
-    return F.get(F.transform(F.array(text), lambda x: F.when(x.rlike(guard), _apply(x, rules)).otherwise(x)), F.lit(0))
+    return F.get(F.transform(F.array(text), lambda x: F.when(x.rlike(guard), _outside(x, rules) if isinstance(rules, Outside) else _apply(x, rules)).otherwise(x)), F.lit(0))
 
 
 def tokenize(text: Column) -> Column:
@@ -67,17 +74,6 @@ def tokenize(text: Column) -> Column:
     return F.filter(F.split(done, r"\s+"), lambda t: t != "")
 
 
-def tokenizer_sql(text: str) -> str:
-    """The same for DuckDB."""
-    out = text
-    for pattern, replacement, times in RULES:
-        flags = "gi" if pattern.startswith("(?i)") else "g"
-        p, r = pattern.removeprefix("(?i)").replace("'", "''"), replacement.replace("$", "\\").replace("'", "''")
-        for _ in range(times):
-            out = f"regexp_replace({out}, '{p}', '{r}', '{flags}')"
-    return f"list_filter(string_split_regex({out}, '\\s+'), lambda t: t <> '')"
-
-
 def sentences(documents: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per line that is not blank: doc_id, line_no (from 0), kept columns, w (tokens between <S> and </S>).
 
@@ -86,11 +82,3 @@ def sentences(documents: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     lines = documents.select("doc_id", *keep, F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.col("line").rlike(r"\S"))
     marked = F.concat(F.array(F.lit(START)), tokenize(F.col("line")), F.array(F.lit(END)))
     return lines.select("doc_id", F.col("line_no").cast("int").alias("line_no"), *keep, marked.alias("w"))
-
-
-def sentences_sql(extra: str = "") -> str:
-    """CTEs ``lines`` and ``sent`` for DuckDB; ``extra``: further columns, each with a comma behind it."""
-    return (
-        f"lines as (select doc_id, {extra} generate_subscripts(string_split(text, chr(10)), 1) - 1 as line_no, unnest(string_split(text, chr(10))) as line from documents),\n"
-        f"sent as (select doc_id, {extra} line_no, list_concat(list_concat(['{START}'], {tokenizer_sql('line')}), ['{END}']) as w from lines where regexp_matches(line, '\\S'))"
-    )

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from gramforge.functions.tokenizer import END, UNKNOWN, sentences_sql
+from gramforge.functions.tokenizer import END, UNKNOWN
+from gramforge.plans.oracle_text import sentences_sql
 from gramforge.plans.queries import FORMS, K, LEMMAS, MINCNT, REQUESTS, SPELLINGS, T
 from gramforge.plans.smoothing import MODELS, bits, layers, layers_sql
 

@@ -247,7 +247,7 @@ def verify_norm(spark, sf):
 
 
 def request_patterns(spark, sf):
-    """Patterns of all sentences: those with unknown words are skipped in scoring only (model.pl:481)."""
+    """Patterns of all sentences: those with unknown words are skipped in scoring only."""
     return score.request_patterns(distinct_positions(corpus(spark, sf).sents), "knmod")
 
 

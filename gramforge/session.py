@@ -11,22 +11,33 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
+#: folders of this process's applications
+_owned: set[str] = set()
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path below the folder that the cluster names in ``spark.checkpoint.dir``.
+    """A fresh path below the folder that the cluster names in ``spark.checkpoint.dir``; it is removed when the application ends.
 
-    Only a session that names none (local tests) gets a folder of its own.
+    Only a local session (tests) that names none gets a folder of its own: on a cluster, executors don't share one.
     """
     base = spark.conf.get(_CHECKPOINT_KEY, None)
     if not base:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         if known.isDefined():
             base = known.get()
+        elif not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{_CHECKPOINT_KEY} must name a folder that all executors share")
         else:
             base = "file://" + tempfile.mkdtemp(prefix="gramforge-")
             spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    own = f"{base.rstrip('/')}/gramforge-{spark.sparkContext.applicationId}"
+    if own not in _owned:
+        _owned.add(own)
+        path = spark._jvm.org.apache.hadoop.fs.Path(own)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+    return f"{own}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 _shipped: set[str] = set()
