@@ -6,9 +6,9 @@ and punctuation are folded away.
 
 Each task turns its documents into shards of about ``SHARD_WORDS`` words, builds the FM-index of a shard and
 searches phrases of the items backwards through the wavelet ranks, one word at a time, for all items
-at once. Located phrases are checked exactly by alignment; overlapping spans of an item are merged.
+at once of which the shard has words enough. Located phrases are checked exactly by alignment; overlapping spans of an item are merged.
 
-No match is lost: a passage of L words with k = L // 8 edits keeps at least one of any k + 1 disjoint phrases
+Of passages as defined none is lost: one of L words with k = L // 8 edits keeps at least one of any k + 1 disjoint phrases
 whole. For each item the shortest phrases that are rare in the shard are taken, if every passage of the
 item holds k + 1 disjoint ones; else all phrases of the length that every match must hold unbroken.
 """
@@ -20,6 +20,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,31 +28,44 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gramforge.llm.fm_index import FMIndex
+from gramforge.session import materialize
 
 SHARD_WORDS = 400_000
 EDIT_EVERY = 8
 #: phrases found at most this often in a shard are rare
 RARE = 40
-#: the items are a stated query set that every task holds; more words than this are refused
-MAX_ITEM_WORDS = 5_000_000
+#: characters of the items that the driver and every task hold at once; more are searched in several passes
+PASS_CHARS = 20_000_000
 _SPANS = "doc_id long, item_id long, start_word long, end_word long, item_words int, matched_words int, edits int"
-_TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,80}>")
+#: markup that may stand within a word, and any other tag
+_INLINE = re.compile(r"</?(?:a|b|i|u|s|em|strong|span|sup|sub|font|mark|small|code|tt|wbr)(?:\s[^<>\n]*)?/?>|(?<=\w)\*{1,3}(?=\w)", re.I)
+_TAG = re.compile(r"</?[A-Za-z][^<>\n]*>")
+_BROKEN = re.compile(r"(\w+)[-\u2010\u00ad][ \t]*\r?\n[ \t]*(\w+)")  # a word broken at the end of a line
 _HIDDEN = re.compile("[\u00ad\u200b\u200c\u200d\u2060\ufeff]")  # soft hyphen and spaces without width
 _WORD = re.compile(r"[^\W_]+")
 _HARD = re.compile(r"[^\x00-\x7f]")
 
 
-def words_of(text: str | None) -> list[str]:
-    """The words of a text; null and empty texts have none."""
+def words_of(text: str | None, known: dict[str, int] | None = None) -> list[str]:
+    """The words of a text; null and empty texts have none.
+
+    Escaped markup is markup. A word broken at the end of a line is whole again if it is one of ``known``.
+    """
     if not text:
         return []
-    if "<" in text:
-        text = _TAG.sub(" ", text)
     if "&" in text:
         text = html.unescape(text)
+    if "<" in text or "*" in text:
+        text = _TAG.sub(" ", _INLINE.sub("", text))
+    if known and "\n" in text:
+        text = _BROKEN.sub(lambda m: m[1] + m[2] if _fold(m[1] + m[2]) in known else m[0], text)
+    return _WORD.findall(_fold(text))
+
+
+def _fold(text: str) -> str:
     if _HARD.search(text):
-        text = unicodedata.normalize("NFKC", _HIDDEN.sub("", text))
-    return _WORD.findall(text.lower())
+        text = unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", _HIDDEN.sub("", text)).casefold())
+    return text.lower() if text.isascii() else text
 
 
 @dataclass
@@ -71,12 +85,16 @@ class _Items:
                 words.append(np.array(w, np.int64))
         return cls(ids, words, vocabulary)
 
+    def some(self, which: np.ndarray) -> _Items:
+        return _Items([self.ids[i] for i in which], [self.words[i] for i in which], self.vocabulary)
+
 
 def needed(n: int) -> int:
     """Words of an item of n words that a match covers at least."""
     return -(-n // 2)
 
 
+@lru_cache(maxsize=None)
 def unbroken(n: int) -> int:
     """Words in a row that every match of an item of n words holds unchanged."""
     return min(-(-(m - m // EDIT_EVERY) // (m // EDIT_EVERY + 1)) for m in range(needed(n), n + 1))
@@ -108,14 +126,15 @@ def _surely_hit(length: np.ndarray, n: int) -> bool:
 class _Search:
     """All items over one shard."""
 
-    def __init__(self, items: _Items):
+    def __init__(self, items: _Items, top: int | None = None):
         self.items = items
         n = [len(w) for w in items.words]
         self.item = np.repeat(np.arange(len(n)), n)
         self.offset = np.concatenate([np.arange(k) for k in n])
         self.start = np.concatenate([[0], np.cumsum(n)])
         self.flat = np.concatenate(items.words)
-        self.top = int(self.flat.max())
+        self.top = top or int(self.flat.max())
+        self.least = np.array([needed(k) - needed(k) // EDIT_EVERY for k in n])
         self.unbroken = [unbroken(k) for k in n]
         self.longest = max(self.unbroken)
         self.lengths = np.array(n)[self.item]
@@ -164,6 +183,17 @@ class _Search:
 
     def run(self, ids: np.ndarray, words: np.ndarray, doc_start: np.ndarray, word_base: np.ndarray) -> list[tuple]:
         """Spans in the documents of a shard. words: symbols, 1 for a word of no item; doc_start: with the end."""
+        # an item can only stand in a shard that has the words of its shortest passage, but for the edits
+        present = np.zeros(self.top + 1, bool)
+        present[words] = True
+        present[1] = False
+        have = np.add.reduceat(present[self.flat], self.start[:-1], dtype=np.int64)
+        which = np.flatnonzero(have >= self.least)
+        if not len(which):
+            return []
+        return (self if len(which) == len(self.items.ids) else _Search(self.items.some(which), self.top))._run(ids, words, doc_start, word_base)
+
+    def _run(self, ids: np.ndarray, words: np.ndarray, doc_start: np.ndarray, word_base: np.ndarray) -> list[tuple]:
         text = np.concatenate([np.append(words[doc_start[i] : doc_start[i + 1]], 0) for i in range(len(ids))])
         raw = np.concatenate([np.append(np.arange(doc_start[i], doc_start[i + 1]), -1) for i in range(len(ids))])
         keep = np.ones(len(text), bool)
@@ -287,22 +317,34 @@ def _groups(keys: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(at.tolist(), [*at[1:].tolist(), len(keys)]))
 
 
-def leaked_spans(documents: DataFrame, items: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
+def leaked_spans(documents: DataFrame, items: DataFrame, shard_words: int = SHARD_WORDS, pass_chars: int = PASS_CHARS) -> DataFrame:
     """Where items stand in documents: doc_id, item_id, start_word, end_word (of the document's words), item_words, matched_words, edits.
 
-    ``documents``: doc_id, text; ``items``: item_id, text (collected: a stated query set of at most
-    MAX_ITEM_WORDS words). Null and empty texts hold nothing and are held by nothing; repeated documents
+    ``documents``: doc_id, text; ``items``: item_id, text (a stated query set, in passes over the documents of about
+    PASS_CHARS characters of items each). Null and empty texts hold nothing and are held by nothing; repeated documents
     come out each; a document longer than a shard is searched in overlapping pieces.
     """
-    rows = [(r[0], r[1]) for r in items.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select("item_id", "text").distinct().collect()]
-    query = _Items.of(sorted(rows))
-    if sum(map(len, query.words)) > MAX_ITEM_WORDS:
-        raise ValueError("too many items for one pass: search them in several")
+    sound = items.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select("item_id", "text").distinct()
+    passes = max(1, -(-(sound.agg(F.sum(F.length("text"))).first()[0] or 0) // pass_chars))
+    if passes == 1:
+        return _search_pass(documents, sound, shard_words)
+    part = F.pmod(F.xxhash64("item_id"), F.lit(passes))
+    spans = [materialize(_search_pass(documents, sound.where(part == p), shard_words), "spans") for p in range(passes)]
+    out = spans[0]
+    for s in spans[1:]:
+        out = out.unionByName(s)
+    return out
+
+
+def _search_pass(documents: DataFrame, items: DataFrame, shard_words: int) -> DataFrame:
+    query = _Items.of(sorted((r[0], r[1]) for r in items.collect()))
     if not query.ids:
         return documents.sparkSession.createDataFrame([], _SPANS)
     overlap = 3 * max(map(len, query.words))
+    sent = documents.sparkSession.sparkContext.broadcast(query)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query: _Items = sent.value
         search = _Search(query)
         symbol = query.vocabulary.get
         ids: list[int] = []
@@ -322,7 +364,7 @@ def leaked_spans(documents: DataFrame, items: DataFrame, shard_words: int = SHAR
 
         for batch in batches:
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                w = np.array([symbol(x, 1) for x in words_of(text)], np.int64)
+                w = np.array([symbol(x, 1) for x in words_of(text, query.vocabulary)], np.int64)
                 for base in range(0, max(1, len(w) - overlap), shard_words):
                     part = w[base : base + shard_words + overlap]
                     if len(part) < 1:

@@ -4,7 +4,8 @@ Items in at least ``heavy_share`` of the records are heavy; there are at most (m
 heavy_share) of them, whatever the size of the data. Pairs of heavy items are counted on dense
 bit-matrices: popcounts of ANDed rows, and of the same against the bit-planes of the weights. Pairs of
 a heavy and a light item are counted by probing the heavy bits at the light item's positions. Pairs
-of light items are counted by hash. Each block emits sums, which Spark adds up before and after one
+of light items are counted by hash. Items in too few records for any pair are taken out before, by a bitmap of the hashes of the
+others: of fixed size, and a rare item that it lets pass is found out later. Each block emits sums, which Spark adds up before and after one
 shuffle on the pair. All three parts are exact and complete.
 """
 
@@ -19,6 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 HEAVY_SHARE = 1 / 200
+#: heavy items at most, the most frequent ones: two matrices of 67 MB in all for a task; items beyond them count as light ones
+MAX_HEAVY = 2048
+#: bits of the bitmap of items that may be in a pair (2 MB), and pair codes held before they are summed
+MAP_BITS, HELD = 1 << 24, 4_000_000
 #: rows of a bit-matrix block, and light positions probed at once
 BLOCK, PROBE = 32_768, 8_192
 _PAIRS = "term_a string, term_b string, records long, weight long"
@@ -34,11 +39,39 @@ def _sums(code: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return code[at], np.diff(np.concatenate([at, [len(code)]])), np.add.reduceat(weight[order], at)
 
 
+def _named(names: list[str], code: np.ndarray, n: np.ndarray, w: np.ndarray) -> tuple:
+    return [names[c // len(names)] for c in code.tolist()], [names[c % len(names)] for c in code.tolist()], n, w
+
+
+def _hashes(names: list[str], bits: int) -> np.ndarray:
+    from xxhash import xxh3_64_intdigest
+
+    return np.array([xxh3_64_intdigest(t) % bits for t in names], np.int64)
+
+
+def frequent_map(stats: DataFrame, least: int, size: int = MAP_BITS) -> np.ndarray:
+    """A bitmap of the hashes of all items (term, records) in at least ``least`` records: at most ``size`` / 64 rows reach the driver."""
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, int] = {}
+        for b in batches:
+            for h in _hashes(b.column(0).to_pylist(), size).tolist():
+                found[h >> 6] = found.get(h >> 6, 0) | 1 << (h & 63)
+        bits = np.array(list(found.values()), np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(bits, pa.int64())], names=["word", "bits"])
+
+    out = np.zeros(size >> 6, np.uint64)
+    rows = stats.where(F.col("records") >= least).select("term").mapInArrow(words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).collect()
+    if rows:
+        out[[r["word"] for r in rows]] = np.array([r["bits"] for r in rows], np.int64).view(np.uint64)
+    return out
+
+
 class _Block:
     """Pair counts of up to BLOCK records at a time."""
 
-    def __init__(self, heavy: list[str], ignored: set[str]):
-        self.heavy, self.ignored = heavy, ignored
+    def __init__(self, heavy: list[str], ignored: set[str], frequent: np.ndarray | None = None):
+        self.heavy, self.ignored, self.frequent = heavy, ignored, frequent
         self.index = {t: i for i, t in enumerate(heavy)}
         self.n = np.zeros((len(heavy), len(heavy)), np.int64)
         self.w = np.zeros_like(self.n)
@@ -49,6 +82,9 @@ class _Block:
         names = coded.dictionary.to_pylist()
         ids = coded.indices.to_numpy(zero_copy_only=False)
         place = np.array([-2 if t in self.ignored else self.index.get(t, -1) for t in names], np.int64)
+        if self.frequent is not None:
+            at = _hashes(names, len(self.frequent) << 6)
+            place[(place == -1) & (self.frequent[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1) == 0)] = -2
         h, size = place[ids], len(self.heavy)
         if size:
             dense = np.zeros((size, -(-len(terms) // 64) * 64), bool)
@@ -106,7 +142,7 @@ class _Block:
 
     @staticmethod
     def _hashed(lr: np.ndarray, li: np.ndarray, weight: np.ndarray, names: list[str]) -> list:
-        codes, weights, step = [], [], 1
+        codes, weights, step, held, out = [], [], 1, 0, []
         while step < len(lr):
             same = np.flatnonzero(lr[step:] == lr[:-step])
             if not len(same):
@@ -114,11 +150,14 @@ class _Block:
             a, b = li[same], li[same + step]
             codes.append(np.minimum(a, b) * len(names) + np.maximum(a, b))
             weights.append(weight[lr[same]])
+            held += len(same)
+            if held > HELD:  # a long record has many pairs
+                out.append(_named(names, *_sums(np.concatenate(codes), np.concatenate(weights))))
+                codes, weights, held = [], [], 0
             step += 1
-        if not codes:
-            return []
-        code, n, w = _sums(np.concatenate(codes), np.concatenate(weights))
-        return [([names[c // len(names)] for c in code.tolist()], [names[c % len(names)] for c in code.tolist()], n, w)]
+        if codes:
+            out.append(_named(names, *_sums(np.concatenate(codes), np.concatenate(weights))))
+        return out
 
     def dense_pairs(self) -> pa.RecordBatch:
         a, b = np.nonzero(self.n)
@@ -132,13 +171,14 @@ def item_stats(records: DataFrame) -> DataFrame:
     return records.select(F.explode("terms").alias("term"), "weight").groupBy("term").agg(F.count("*").alias("records"), F.sum("weight").alias("weight"))
 
 
-def pair_counts(records: DataFrame, heavy: list[str], ignored: set[str] | None = None) -> DataFrame:
-    """term_a < term_b (byte order), records, weight for every pair of items that share a record."""
+def pair_counts(records: DataFrame, heavy: list[str], ignored: set[str] | None = None, frequent: np.ndarray | None = None) -> DataFrame:
+    """term_a < term_b (byte order), records, weight for every pair of items that share a record; ``frequent``: see ``frequent_map``."""
     skip = frozenset(ignored or ())
     items = sorted(set(heavy) - skip)
+    sent = records.sparkSession.sparkContext.broadcast((items, skip, frequent))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = _Block(items, skip)
+        block = _Block(*sent.value)
         waiting, rows = [], 0
 
         def flush() -> pa.RecordBatch | None:
@@ -158,11 +198,11 @@ def pair_counts(records: DataFrame, heavy: list[str], ignored: set[str] | None =
             yield out
         yield block.dense_pairs()
 
-    sent = records.select("terms", "weight").where(F.size("terms") > 1)
-    return sent.mapInArrow(run, _PAIRS).groupBy("term_a", "term_b").agg(F.sum("records").alias("records"), F.sum("weight").alias("weight"))
+    several = records.select("terms", "weight").where(F.size("terms") > 1)
+    return several.mapInArrow(run, _PAIRS).groupBy("term_a", "term_b").agg(F.sum("records").alias("records"), F.sum("weight").alias("weight"))
 
 
-def cooccurrence(records: DataFrame, stats: DataFrame, min_records: int = 1, min_lift: int | None = None, heavy_share: float = HEAVY_SHARE) -> DataFrame:
+def cooccurrence(records: DataFrame, stats: DataFrame, min_records: int = 1, min_lift: int | None = None, heavy_share: float = HEAVY_SHARE, map_bits: int = MAP_BITS) -> DataFrame:
     """term_a, term_b, records, weight, lift of every pair held together by at least ``min_records`` records.
 
     ``records``: terms ARRAY<STRING> (distinct, no nulls), weight LONG (not negative); ``stats``: its
@@ -172,9 +212,10 @@ def cooccurrence(records: DataFrame, stats: DataFrame, min_records: int = 1, min
     """
     whole = records.agg(F.count("*").alias("n"), F.coalesce(F.sum("weight"), F.lit(0)).alias("w")).first()
     bound = F.col("records") >= max(1.0, heavy_share * whole["n"])
-    rows = stats.where(bound).select("term", "weight").collect()  # at most (mean record size / heavy_share) rows
+    rows = stats.where(bound).orderBy(F.desc("records"), "term").limit(MAX_HEAVY).select("term", "weight").collect()
     ignored = {r["term"] for r in rows if min_lift and r["weight"] * min_lift > whole["w"]}
-    pairs = pair_counts(records, [r["term"] for r in rows], ignored).where(F.col("records") >= min_records)
+    frequent = frequent_map(stats, min_records, map_bits) if min_records > 1 else None
+    pairs = pair_counts(records, [r["term"] for r in rows], ignored, frequent).where(F.col("records") >= min_records)
     a, b = (stats.select(F.col("term").alias(f"term_{x}"), F.col("weight").alias(f"w_{x}")) for x in "ab")
     wide = lambda c: c.cast("decimal(19,0)")
     total = wide(F.lit(int(whole["w"])))

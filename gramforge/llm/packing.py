@@ -10,11 +10,13 @@ leaves unused is at most one container in a shard.
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,10 +39,12 @@ def _encoding(path: str):
 
 
 def token_lengths(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """doc_id, tokens (LONG) of each document; null and empty texts have 0."""
+    """doc_id, tokens (LONG) of each document; null and empty texts have 0. The tokenizer's file need only be on the driver: Spark hands it to the executors."""
+    documents.sparkSession.sparkContext.addFile(tokenizer)
+    name = os.path.basename(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoding(tokenizer).encode_ordinary
+        encode = _encoding(SparkFiles.get(name)).encode_ordinary
         for b in batches:
             sizes = [len(encode(t)) if t else 0 for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64())], names=["doc_id", "tokens"])
@@ -140,6 +144,8 @@ def pack_documents(lengths: DataFrame, containers: DataFrame, shard_items: int =
     # rows of one id are told apart and spread: no shard grows with them
     numbered = lengths.select("doc_id", "tokens", F.monotonically_increasing_id().alias("copy"))
     given = numbered.withColumn("shard", F.pmod(F.xxhash64("doc_id", "copy"), F.lit(shards)).cast("long"))
+    # few bytes but much work: a number of partitions of its own, which adaptive execution keeps
+    given = given.repartition(shards, "shard")
     return given.groupBy("shard").applyInPandas(lambda pdf: _pack_shard(pdf, classes), _PACKED)
 
 

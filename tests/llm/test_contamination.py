@@ -157,3 +157,21 @@ def test_two_passages_of_an_item_close_together(spark):
     items = spark.createDataFrame([(1, " ".join(w))], "item_id long, text string")
     docs = spark.createDataFrame([(1, " ".join(["a", *w[:40], *between, *w[40:], "b"]))], "doc_id long, text string")
     assert {(r["start_word"], r["end_word"]) for r in removal_spans(leaked_spans(docs, items)).collect()} == {(1, 41), (56, 96)}
+
+
+def test_folding():
+    same = lambda a, b, known=None: words_of(a, known) == words_of(b, known)
+    assert same("STRASSE", "straße") and same("ΣΊΣΥΦΟΣ", "σίσυφος") and same("ﬁne", "FINE")
+    assert same("&lt;S&gt; a word &lt;/S&gt;", "a word") and same(f'a <b class="{"x" * 200}">word</b>', "a word")
+    assert same("w<b>or</b>d **wo**rd", "word word") and same("one<br>two", "one two")
+    assert words_of("the coun-\n  ter and well-\nknown", {"counter": 2, "well": 3, "known": 4}) == ["the", "counter", "and", "well", "known"]
+
+
+def test_items_in_several_passes(spark):
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    items = [(i, " ".join(word() for _ in range(r.randint(8, 30)))) for i in range(60)]
+    docs = [(i, " ".join([word() for _ in range(20)] + items[i % 60][1].split() + [word() for _ in range(5)])) for i in range(90)]
+    d, t = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    one = sorted(map(tuple, leaked_spans(d, t).collect()))
+    assert one == sorted(map(tuple, leaked_spans(d, t, pass_chars=2000).collect())) and {(x[0], x[1]) for x in one} == {(i, i % 60) for i in range(90)}

@@ -2,6 +2,7 @@ import random
 from collections import Counter
 from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,3 +71,26 @@ def test_long_record(spark):
     terms = [f"t{i:04d}" for i in range(700)]
     df = spark.createDataFrame([(terms, 2)], "terms array<string>, weight long")
     assert pair_counts(df, terms[:3]).count() == 700 * 699 // 2
+
+
+def test_rare_items_are_taken_out_before_pairing(spark, monkeypatch):
+    """Few bits, few heavy items, sums in small parts: the same pairs."""
+    from gramforge.llm import cooccurrence as module
+
+    monkeypatch.setattr(module, "MAX_HEAVY", 3)
+    rows = make(3) + [([f"long{i}" for i in range(60)], 2)] * 2
+    df = spark.createDataFrame(rows, "terms array<string>, weight long")
+    for bits in (64, 1 << 16):
+        got = {(r["term_a"], r["term_b"]): (r["records"], r["weight"]) for r in cooccurrence(df, item_stats(df), min_records=4, heavy_share=0.001, map_bits=bits).collect()}
+        assert got == {k: v for k, v in brute(rows).items() if v[0] >= 4}
+    frequent = module.frequent_map(item_stats(df), 4)
+    assert 0 < sum(int(x).bit_count() for x in frequent) <= sum(v >= 4 for v in Counter(t for ts, _ in rows for t in ts).values())
+    names = [f"w{i}" for i in range(60)]
+    row, ids, weight = np.zeros(60, np.int64), np.arange(60), np.array([3])
+    whole = module._Block._hashed(row, ids, weight, names)
+    monkeypatch.setattr(module, "HELD", 50)
+    parts = module._Block._hashed(row, ids, weight, names)
+    flat = lambda x: sorted((a, b, int(n), int(w)) for p in x for a, b, n, w in zip(*p))
+    assert len(whole) == 1 < len(parts) and flat(whole) == flat(parts)
+    emitted = pair_counts(df, [], None, frequent).where("term_a like 'long%'").count()
+    assert emitted == 0

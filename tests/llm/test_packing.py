@@ -66,3 +66,9 @@ def test_tokens_of_texts(spark):
     docs = spark.createDataFrame([(1, "Hello world"), (2, ""), (3, None), (4, "<|endoftext|>"), (5, "word " * 50_000)], "doc_id long, text string")
     got = {r[0]: r[1] for r in token_lengths(docs).collect()}
     assert got[2] == got[3] == 0 and got[1] == 2 and got[4] > 1 and got[5] >= 50_000
+
+
+def test_shards_are_packed_by_as_many_tasks(spark):
+    lengths = spark.range(500).selectExpr("id as doc_id", "id % 90 + 1 as tokens")
+    classes = spark.createDataFrame([("c", 100)], "class_name string, capacity int")
+    assert pack_documents(lengths, classes, shard_items=50).rdd.getNumPartitions() == 10
