@@ -40,7 +40,7 @@ _SPANS = "doc_id long, item_id long, start_word long, end_word long, item_words
 #: markup that may stand within a word, and any other tag
 _INLINE = re.compile(r"</?(?:a|b|i|u|s|em|strong|span|sup|sub|font|mark|small|code|tt|wbr)(?:\s[^<>\n]*)?/?>|(?<=\w)\*{1,3}(?=\w)", re.I)
 _TAG = re.compile(r"</?[A-Za-z][^<>\n]*>")
-_BROKEN = re.compile(r"(\w+)[-\u2010\u00ad][ \t]*\r?\n[ \t]*(\w+)")  # a word broken at the end of a line
+_BROKEN = re.compile(r"(?<!\w)(\w++)[-\u2010\u00ad][ \t]*\r?\n[ \t]*(\w+)")  # a word broken at the end of a line
 _HIDDEN = re.compile("[\u00ad\u200b\u200c\u200d\u2060\ufeff]")  # soft hyphen and spaces without width
 _WORD = re.compile(r"[^\W_]+")
 _HARD = re.compile(r"[^\x00-\x7f]")
