@@ -90,11 +90,17 @@ def matching_ngrams(ngrams: DataFrame, patterns: DataFrame, with_exact: bool = F
     return kept.join(exact, on, "left_anti")
 
 
-def cube_counts(ngrams: DataFrame, n: int) -> DataFrame:
-    """Every pattern of an order (2 or 3: 2^n rows an n-gram): w1..wn (null where wild), mask, n0, n1, n2."""
-    if n > 3:
-        raise ValueError("beyond order 3, ask for the masks you need")
+def cube_counts(ngrams: DataFrame, n: int, masks: list[int] | None = None) -> DataFrame:
+    """Every pattern of an order with one of some masks (all, if none are named: 2^n rows an n-gram): w1..wn (null where wild), mask, n0, n1, n2.
+
+    With masks named, only those are expanded: name them for the orders 4 and 5 of large tables.
+    """
     w = WORDS[:n]
+    if masks is not None:
+        long = masked(ngrams, {n: sorted(masks)}, [])
+        keys = [F.col(k).alias(x) for k, x in zip(KEYS, w)]
+        counted = long.groupBy("mask", *keys).agg(F.sum("cnt").alias("n0"), F.count("*").alias("n1"), F.count_distinct(F.when(has_n2(F.col("mask")), F.col("last"))).alias("d"))
+        return counted.select(*w, "mask", "n0", F.when(F.col("mask") > 0, F.col("n1")).alias("n1"), F.when(has_n2(F.col("mask")), F.col("d")).alias("n2"))
     copy = ngrams.where(F.col("n") == n).select(*w, "cnt", F.col(w[-1]).alias("last"))
     cube = copy.cube(*w).agg(F.grouping_id().cast("int").alias("mask"), F.sum("cnt").alias("n0"), F.count("*").alias("n1"), F.count_distinct("last").alias("d"))
     return cube.select(*w, "mask", "n0", F.when(F.col("mask") > 0, F.col("n1")).alias("n1"), F.when(has_n2(F.col("mask")), F.col("d")).alias("n2"))

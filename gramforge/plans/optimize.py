@@ -1,18 +1,21 @@
 """Parameter optimization and normalization checks.
 
-The objective is bits per word over a written feature table; one Spark job evaluates several points at once, so that a
-round of trial moves costs one pass over the data.
+The objective is bits per word over a written table of the counts that the model uses, equal ones added up. One Spark job evaluates several points
+at once, so that a round of trial moves costs one pass over the data; the points are rows that are joined with the counts, so that
+the generated code is the same for all of them.
 """
 
 from __future__ import annotations
 
 import random
+import re
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gramforge.plans.smoothing import DEFAULTS, KN_MODELS, apply_layers, bits, layers
+from gramforge.plans.smoothing import DEFAULTS, KN_MODELS, apply_layers, bits, layers, prefixed, with_columns_for_constants
+from gramforge.session import materialize
 
 Point = list[float]
 Objective = Callable[[Sequence[Point]], list[float]]
@@ -20,7 +23,13 @@ OUT_OF_RANGE = 1e9
 EPSILON = 1e-6
 
 
+#: models without parameters to optimize
+FIXED = ["wbdiscount", "gbits"]
+
+
 def dimensions(model: str, order: int) -> int:
+    if model in FIXED:
+        raise ValueError(f"{model} has no parameters to optimize")
     if model == "kn":
         return 2 * order - 3
     return 2 * order - 2 if model in KN_MODELS else order - 1
@@ -59,22 +68,26 @@ def admissible(model: str, x: Point, threshold: int) -> Point | None:
 
 def objective(feats: DataFrame, model: str, order: int, ngram_threshold: int, token_threshold: int) -> Objective:
     """Bits per word at ``order`` of each of some points; out of range 1e9."""
+    at = lambda p: with_columns_for_constants(layers(model, _padded(model, p), ngram_threshold, token_threshold))
+    steps, _ = at(start(model, order))
+    steps = steps[: next(i for i, (n, _) in enumerate(steps) if n == f"p{order}") + 1]
+    used = set(re.findall(r"\w+", " ".join(t for _, t in steps)))
+    # of a context word the layers only ask whether there is one
+    cols = [(F.when(F.col(c).isNotNull(), F.lit("x")).alias(c) if re.fullmatch("x[1-4]", c) else F.col(c)) for c in feats.columns if c in used and c != "times"]
+    rows = materialize(feats.select(*cols, "times").groupBy(*(c for c in feats.columns if c in used and c != "times")).agg(F.sum("times").alias("times")), "objective")
+    spark = feats.sparkSession
 
     def value(points: Sequence[Point]) -> list[float]:
         inside = [admissible(model, list(p), ngram_threshold) for p in points]
-        todo = [(i, p) for i, p in enumerate(inside) if p is not None]
+        todo = [(i, *at(p)[1]) for i, p in enumerate(inside) if p is not None]
         out = [OUT_OF_RANGE] * len(points)
         if todo:
-            df, cols = feats, []
-            for i, p in todo:
-                steps = layers(model, _padded(model, p), ngram_threshold, token_threshold)
-                names = {n: f"v{i}_{n}" for n, _ in steps}
-                df = apply_layers(df, [(names[n], _renamed(t, names)) for n, t in steps])
-                cols.append((i, names[f"p{order}"]))
-            row = df.agg(*(F.try_divide(F.sum(F.expr(bits(c)) * F.col("times")), F.sum("times")).alias(f"r{i}") for i, c in cols)).first()
-            for i, _ in cols:
-                if row[f"r{i}"] is not None:
-                    out[i] = row[f"r{i}"]
+            table = spark.createDataFrame(todo, ", ".join(["point int", *(f"c{j} double" for j in range(len(todo[0]) - 1))]))
+            scored = apply_layers(rows.crossJoin(F.broadcast(table)), steps)
+            mean = F.try_divide(F.sum(F.expr(bits(f"p{order}")) * F.col("times")), F.sum("times"))
+            for r in scored.groupBy("point").agg(mean.alias("r")).collect():
+                if r["r"] is not None:
+                    out[r["point"]] = r["r"]
         return out
 
     return value
@@ -85,41 +98,33 @@ def _padded(model: str, p: Point) -> Point:
     return [*p, *DEFAULTS[model][len(p) :]]
 
 
-def _renamed(text: str, names: dict[str, str]) -> str:
-    import re
-
-    return re.sub(r"\b([pb][1-5])\b", lambda m: names.get(m[1], m[1]), text)
-
-
-def hill_climb(f: Objective, x: Point, step: float = 0.1, least: float = 1e-4, rounds: int = 200) -> tuple[Point, float]:
-    """Pattern search: all single moves of a round are tried in one job, the best improvements are combined and, while that
-    helps, repeated in the same direction; without improvement the step is halved, until it is below ``least``."""
+def hill_climb(f: Objective, x: Point, step: float = 0.1, least: float = 1e-4, rounds: int = 1_000_000, gain: float = 1e-9) -> tuple[Point, float]:
+    """Pattern search: all single moves of a round, by ``step`` and by quarters of it down to ``least``, are tried in one job; the best improvements
+    are combined and, while that helps, repeated in the same direction. It ends where no move improves by ``gain``."""
     best = f([x])[0]
     for _ in range(rounds):
-        if step < least:
-            break
-        moves = [(i, s) for i in range(len(x)) for s in (step, -step)]
+        sizes = [step / 4**k for k in range(40) if step / 4**k > least] + [least]
+        moves = [(i, s) for i in range(len(x)) for size in sizes for s in (size, -size)]
         tried = f([[v + (s if j == i else 0) for j, v in enumerate(x)] for i, s in moves])
         gains: dict[int, tuple[float, float]] = {}
         for (i, s), v in zip(moves, tried):
-            if v < best and (i not in gains or v < gains[i][0]):
+            if v < best - gain and (i not in gains or v < gains[i][0]):
                 gains[i] = (v, s)
         if not gains:
-            step /= 2
-            continue
+            break
         leader = min(gains, key=lambda i: gains[i][0])
         direction = [gains[i][1] if i in gains else 0.0 for i in range(len(x))]
         single = [gains[leader][1] if i == leader else 0.0 for i in range(len(x))]
-        lines = [[v + d * m for v, d in zip(x, direction)] for m in (1, 2, 4, 8)] + [[v + d * m for v, d in zip(x, single)] for m in (1, 2, 4, 8)]
+        lines = [[v + d * m for v, d in zip(x, way)] for way in (direction, single) for m in (0.5, 1, 2, 4, 8)]
         values = f(lines)
         k = min(range(len(lines)), key=lambda i: values[i])
         x, best = lines[k], values[k]
-        if k % 4 == 3:
+        if k % 5 == 4:
             step *= 2
     return x, best
 
 
-def simplex(f: Objective, x: Point, size: float = 1.0, least: float = 1e-4, rounds: int = 1000) -> tuple[Point, float]:
+def simplex(f: Objective, x: Point, size: float = 1.0, least: float = 1e-4, rounds: int = 1_000_000) -> tuple[Point, float]:
     """Nelder-Mead, until the simplex is smaller than ``least``."""
     n = len(x)
     points = [list(x)] + [[v + (size if j == i else 0) for j, v in enumerate(x)] for i in range(n)]
@@ -147,13 +152,17 @@ def simplex(f: Objective, x: Point, size: float = 1.0, least: float = 1e-4, roun
     return ranked[0][1], ranked[0][0]
 
 
-def normalization(contexts: DataFrame, vocab: DataFrame, stats: dict[str, DataFrame], model: str, ngram_threshold: int, token_threshold: int) -> DataFrame:
-    """For each context (x4..x1): the sum of the probabilities of all words of the vocabulary, at each order, without pseudo-counts.
+def normalization(contexts: DataFrame, vocab: DataFrame, stats: dict[str, DataFrame], models: list[str], ngram_threshold: int, token_threshold: int) -> DataFrame:
+    """model and, for each context (x4..x1; null before a sentence's begin), the sum of the probabilities of all words of the vocabulary at each order, without pseudo-counts.
 
-    The contexts are a stated set of bounded size, each held against the whole vocabulary.
+    The contexts are a stated set of bounded size, each held against the whole vocabulary; their features are made once for all models.
     """
     from gramforge.plans.features import CONTEXT, features
 
     pos = vocab.select(F.col("w1").alias("y")).crossJoin(F.broadcast(contexts.select(*CONTEXT)))
-    scored = apply_layers(features(pos, stats), layers(model, None, ngram_threshold, token_threshold, pseudo_counts=False))
-    return scored.groupBy(*CONTEXT).agg(*(F.sum(f"p{n}").alias(f"sum_{n}") for n in range(1, 6)))
+    scored, sums = features(pos, stats), []
+    for m in models:
+        scored = apply_layers(scored, prefixed(layers(m, None, ngram_threshold, token_threshold, pseudo_counts=False), f"{m}_"))
+        sums += [F.sum(f"{m}_p{n}").alias(f"{m}_{n}") for n in range(1, 6)]
+    each = F.explode(F.array(*(F.struct(F.lit(m).alias("model"), *(F.col(f"{m}_{n}").alias(f"sum_{n}") for n in range(1, 6))) for m in models))).alias("e")
+    return scored.groupBy(*CONTEXT).agg(*sums).select(*CONTEXT, each).select("e.model", *CONTEXT, *(f"e.sum_{n}" for n in range(1, 6)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from gramforge.functions.tokenizer import END, UNKNOWN
 from gramforge.plans.oracle_text import sentences_sql
-from gramforge.plans.queries import FORMS, K, LEMMAS, MINCNT, REQUESTS, SPELLINGS, T
+from gramforge.plans.queries import FORMS, HASHED, K, LEMMAS, MADE, MINCNT, REQUESTS, SPELLINGS, VERIFIED, T
 from gramforge.plans.smoothing import MODELS, bits, layers, layers_sql
 
 _W = ["w1", "w2", "w3", "w4", "w5"]
@@ -139,23 +139,28 @@ def _entropy(model: str, source: str = "feats", by: str = "") -> str:
 
 
 def _norm() -> str:
-    best = "ctx as (select x4, x3, x2, x1 from (select x4, x3, x2, x1, sum(times) as s from dpos where x4 is not null and x3 is not null and x2 is not null group by all) order by s desc, x4, x3, x2, x1 limit 3)"
-    pairs = "cv as (select x4, x3, x2, x1, w1 as y, 1 as times from ctx, o1)"
+    best = f"ctx as (select x4, x3, x2, x1 from (select distinct x4, x3, x2, x1 from dpos) order by md5(concat_ws(' ', x4, x3, x2, x1)) limit {HASHED}), ctx2 as (select * from ctx union select * from {_values(MADE, 'x4, x3, x2, x1')})"
+    pairs = "cv as (select x4, x3, x2, x1, w1 as y, 1 as times from ctx2, o1)"
     parts = [
         f"select '{m}' as model, x4, x3, x2, x1, {', '.join(f'round(sum(p{n}), 6) as sum_{n}' for n in range(1, 6))} from {layers_sql('vf', layers(m, None, K, T, pseudo_counts=False))} group by x4, x3, x2, x1"
-        for m in ("mc", "kn", "kn1", "kn3", "kn4", "knmod")
+        for m in VERIFIED
     ]
     return f"{_STATS}, {best}, {pairs}, vf as materialized {_features('cv')} {' union all '.join(parts)}"
 
 
-def _requested() -> str:
-    """Patterns of knmod: plain unions, without nulls."""
+def _requested(model: str) -> str:
+    """Patterns of a model over all sentences: plain unions, without nulls."""
     join = lambda *p: "concat_ws(' ', " + ", ".join(p) + ")"
     out = ["select y as pattern from f", "select '_' from f where y is not null"]
     for n in range(2, 6):
         k = n - 1
         x = [f"x{j}" for j in range(k, 0, -1)]
         out += [f"select {join(*x)} from f where x{k} is not null", f"select {join(*x, chr(39) + '_' + chr(39))} from f where x{k} is not null"]
+        if model not in ("kn", "kn1", "kn3", "kn4", "knmod"):
+            out.append(f"select {join(*x, 'y')} from f where x{k} is not null")
+            continue
+        if n == 5 and model in ("kn", "kn1"):  # has no counts of its own there
+            continue
         use = f"x{k} is not null and not kbad_{k}"
         out += [f"select {join(*x, 'y')} from f where {use}", f"select {join(chr(39) + '_' + chr(39), 'y')} from f where {use}", f"select '_ _' from f where {use}"]
         for m in range(2, n):
@@ -163,8 +168,11 @@ def _requested() -> str:
             z = [f"x{i}" for i in range(j, 0, -1)]
             good = f"{use} and not kbad_{j}"
             w = "'_'"
-            out += [f"select {join(w, *z, w)} from f where {use}", f"select {join(*z, w)} from f where {use}", f"select {join(w, *z, 'y')} from f where {good}", f"select {join(*z, 'y')} from f where {good}", f"select {join(*z)} from f where {good}"]
-    return f"{_CORPUS}, f as materialized (select *, {_flags()} from dpos) select distinct pattern from ({' union all '.join(out)})"
+            out += [f"select {join(w, *z, w)} from f where {use}", f"select {join(w, *z, 'y')} from f where {good}", f"select {join(*z, w)} from f where {good}"]
+            if model != "kn":
+                out += [f"select {join(*z, w)} from f where {use}", f"select {join(*z, 'y')} from f where {good}", f"select {join(*z)} from f where {good}"]
+    every = "apos as (select distinct w[i + 1] as y, case when i > 3 then w[i - 3] end as x4, case when i > 2 then w[i - 2] end as x3, case when i > 1 then w[i - 1] end as x2, w[i] as x1 from (select w, unnest(range(1, len(w) - 1)) as i from sent where len(w) > 2))"
+    return f"{_SENT}, {every}, f as materialized (select *, {_flags()} from apos) select distinct pattern from ({' union all '.join(out)})"
 
 
 def _values(rows: list[tuple], cols: str) -> str:
@@ -187,6 +195,14 @@ f as (select distinct c.id, x.str as form from c join e h on lower(c.head) = h.s
 m as (select distinct c.id, coalesce(f.form, c.word) as form from c left join f on f.id = c.id)"""
 _FIRST = "case when instr(word0, word) > 0 then word0[1:instr(word0, word) - 1] || form || word0[instr(word0, word) + len(word):] else word0 end"
 
+_MINCNT = (
+    "select "
+    + ", ".join(f"case when x{k} is not null and coalesce(v{k}.cnt, 0) < {MINCNT} then '{UNKNOWN}' else x{k} end as x{k}" for k in (4, 3, 2, 1))
+    + ", y, count(*) as times from kpos "
+    + " ".join(f"left join voc v{k} on v{k}.w1 = x{k}" for k in range(1, 5))
+    + " group by all"
+)
+
 ORACLE = {
     "tokenize_documents": f"{_SENT} select doc_id, count(*) as sentences, cast(sum(len(w) - 2) as bigint) as tokens from sent group by doc_id",
     "token_counts": f"{_SENT} select w1, count(*) as cnt from (select unnest(w) as w1 from sent) group by w1",
@@ -198,6 +214,7 @@ ORACLE = {
     "allwild_totals": f"{_DATA} select n, cast(sum(cnt) as bigint) as n0, count(*) as n1, case when n > 1 then count(distinct {_LAST}) end as n2 from g group by n",
     "cube_counts_2": _cube(2),
     "cube_counts_3": _cube(3),
+    **{f"cube_counts_{n}": f"select c.* from ({_cube(n)}) c where mask in (select mask from ({_PATTERNS} select mask from p where n = {n}))" for n in (4, 5)},
     "parsed_patterns": f"{_PATTERNS} select pattern, n, mask, p1, p2, p3, p4, p5, pattern as rendered from p",
     "pattern_counts": _counts("join", False),
     "pattern_counts_n2": _counts("join", True),
@@ -218,20 +235,15 @@ ORACLE = {
     "missing_count": _STATS + " " + " union all ".join(f"select concat_ws(' ', {', '.join(f'c{i + 1}' for i in range(k))}) as context, {k} as k, cast(x0_{k} - r0_{k} as bigint) as missing from sx{k} where x0_{k} > 0" for k in range(1, 5)),
     "n1mod": f"{_STATS} select c1 as x, c2 as y, round(l1_2 + cast({1.0 / K} as double) * (y0_2 - l0_2), 6) as n1mod from sy2",
     "bad_context": f"{_CORPUS} select doc_id, {', '.join(f'cast(sum({b}_{k}::int) as bigint) as {b}_{k}' for k in range(1, 5) for b in ('bad', 'kbad'))} from (select *, {_flags()} from kpos) group by doc_id",
-    "mincnt_unk": _CORPUS
-    + ", "
-    + ", ".join(f"v{k} as (select w1, cnt from voc)" for k in range(1, 5))
-    + " select "
-    + ", ".join(f"case when x{k} is not null and coalesce(v{k}.cnt, 0) < {MINCNT} then '{UNKNOWN}' else x{k} end as x{k}" for k in (4, 3, 2, 1))
-    + ", y, count(*) as times from kpos "
-    + " ".join(f"left join v{k} on v{k}.w1 = x{k}" for k in range(1, 5))
-    + " group by all",
+    "mincnt_unk": f"{_CORPUS} {_MINCNT}",
     **{f"bits_{m}": _bits_sql(m) for m in MODELS},
     "token_bits": f"{_FEATS} select k.doc_id, k.line_no, cast(k.i as integer) as i, k.y, {', '.join(f'round({bits(f'p{n}')}, 6) as bits_{n}' for n in range(1, 6))} from kpos k join {_scored('knmod')} s on k.y = s.y and k.x1 = s.x1 and {' and '.join(f'k.x{j} is not distinct from s.x{j}' for j in (2, 3, 4))}",
     "cross_entropy": f"{_FEATS} " + " union all ".join(_entropy(m) for m in MODELS),
     "cross_entropy_by_lang": f"{_STATS}, lpos as (select lang, x4, x3, x2, x1, y, count(*) as times from kpos group by all), lf as {_features('lpos')} {_entropy('knmod', 'lf', 'lang, ')}",
     "verify_norm": _norm(),
-    "request_patterns": _requested(),
+    "request_patterns": _requested("knmod"),
+    **{f"request_patterns_{m}": _requested(m) for m in MODELS if m not in ("knmod", "gbits")},
+    "bits_mincnt": f"{_STATS}, mpos as ({_MINCNT}), mf as {_features('mpos')} select x4, x3, x2, x1, y, times, round({bits('p5')}, 6) as bits_5 from {_scored('knmod', 'mf')}",
     "headword": f"{_HEADS} select id, head, word from q",
     "capmatch": f"{_REQ} select id, {_CAP.format(h='head', w='word')} as result from q0",
     "mormatch": f"{_MORPH} select id, form from m",

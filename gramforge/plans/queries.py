@@ -15,13 +15,15 @@ from gramforge.operators.corpus import Corpus, build, known_sentences, with_unkn
 from gramforge.plans import optimize, score
 from gramforge.plans.features import CONTEXT, bad_contexts, distinct_positions, features, positions, stats_tables
 from gramforge.plans.smoothing import MODELS
-from gramforge.session import materialize, table
-from gramforge.sources.ngram_data import WORDS, ngram_table
+from gramforge.session import materialize, shared_dir, table
+from gramforge.sources.ngram_data import WORDS, ngram_table, write_sorted
 
 #: thresholds for the test corpus (the published ones are 40 and 200)
 K, T = 2, 5
 #: a word below this is <UNK> as a context in ``mincnt_unk``
 MINCNT = 50
+#: contexts that ``verify_norm`` checks: those with the lowest hashes in the corpus; a sentence's begin, words never seen, a bad token; and the models
+HASHED, MADE, VERIFIED = 9, [(None, None, None, "<S>"), ("no", "such", "words", "hereabouts"), ("the", "of", "a", ";")], ["mc", "kn", "kn1", "kn3", "kn4", "knmod"]
 
 _kept: dict[tuple[str, str, str], object] = {}
 
@@ -105,7 +107,10 @@ def allwild_totals(spark, sf):
 
 
 def cube_counts(spark, sf, n):
-    return lookup.cube_counts(_ngrams(spark, sf), n)
+    if n <= 3:
+        return lookup.cube_counts(_ngrams(spark, sf), n)
+    asked = _patterns(spark, sf).where(F.col("n") == n).select("mask").distinct().collect()  # at most 2^n
+    return lookup.cube_counts(_ngrams(spark, sf), n, [r[0] for r in asked])
 
 
 def parsed_patterns(spark, sf):
@@ -133,12 +138,25 @@ def match_ngrams_all(spark, sf):
     return lookup.matching_ngrams(_ngrams(spark, sf), _patterns(spark, sf), with_exact=True)
 
 
+def _sorted_copies(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The n-grams by first and by second word, written once: a lookup reads the row groups that can hold its pattern."""
+
+    def make():
+        paths = shared_dir(spark, "by-w1"), shared_dir(spark, "by-w2")
+        ngrams = materialize(_ngrams(spark, sf), "ngrams")
+        for path, by in zip(paths, ("w1", "w2")):
+            write_sorted(ngrams, path, by)
+        return tuple(spark.read.parquet(p).select("n", *WORDS, "cnt") for p in paths)
+
+    return _once(spark, sf, "sorted copies", make)
+
+
 def prefix_lookup(spark, sf):
-    return lookup.lookup(_ngrams(spark, sf), "the _ _")
+    return lookup.lookup_sorted(*_sorted_copies(spark, sf), "the _ _")
 
 
 def second_word_lookup(spark, sf):
-    return lookup.lookup(_ngrams(spark, sf), "_ of _")
+    return lookup.lookup_sorted(*_sorted_copies(spark, sf), "_ of _")
 
 
 def point_lookup(spark, sf):
@@ -204,6 +222,13 @@ def mincnt_unk(spark, sf):
     return score.mincnt_positions(c.sents, c.vocab, MINCNT)
 
 
+def bits_mincnt(spark, sf):
+    """Bits with rare words as <UNK> in contexts; targets stay as they are."""
+    c = corpus(spark, sf)
+    rows = features(score.mincnt_positions(c.sents, c.vocab, MINCNT), _stats(spark, sf))
+    return score.with_bits(rows, "knmod", c).select(*CONTEXT, "y", "times", F.round("bits_5", 6).alias("bits_5"))
+
+
 def bits(spark, sf, model):
     scored = score.with_bits(_features(spark, sf), model, corpus(spark, sf))
     return scored.select(*CONTEXT, "y", "times", F.round("bits_5", 6).alias("bits_5"))
@@ -219,11 +244,7 @@ def token_bits(spark, sf):
 
 
 def cross_entropy(spark, sf):
-    c, f = corpus(spark, sf), _features(spark, sf)
-    parts = [score.cross_entropy(score.with_bits(f, m, c)).withColumn("model", F.lit(m)) for m in MODELS]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    out = score.cross_entropies(_features(spark, sf), MODELS, K, T)
     return out.select("model", "words", *(F.round(f"bits_{n}", 4).alias(f"bits_{n}") for n in range(1, 6)))
 
 
@@ -234,21 +255,17 @@ def cross_entropy_by_lang(spark, sf):
 
 
 def verify_norm(spark, sf):
-    """Sums of probabilities for the three most frequent contexts of four words, by model."""
+    """Sums of probabilities by model for a stated set of contexts: HASHED of those in the corpus, whatever they are, and some made ones, by model."""
     c, stats = corpus(spark, sf), _stats(spark, sf)
-    full = " and ".join(f"{x} is not null" for x in CONTEXT)
-    contexts = _features(spark, sf).where(full).groupBy(*CONTEXT).agg(F.sum("times").alias("times")).orderBy(F.desc("times"), *CONTEXT).limit(3)
-    contexts = materialize(contexts, "contexts")
-    parts = [optimize.normalization(contexts, word_counts(with_unknowns(c.sents, c.vocab)), stats, m, K, T).withColumn("model", F.lit(m)) for m in ("mc", "kn", "kn1", "kn3", "kn4", "knmod")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    some = _features(spark, sf).select(*CONTEXT).distinct().orderBy(F.md5(F.concat_ws(" ", *CONTEXT))).limit(HASHED)
+    contexts = materialize(some.unionByName(spark.createDataFrame(MADE, ", ".join(f"{x} string" for x in CONTEXT))).distinct(), "contexts")
+    out = optimize.normalization(contexts, c.order(1), stats, VERIFIED, K, T)
     return out.select("model", *CONTEXT, *(F.round(f"sum_{n}", 6).alias(f"sum_{n}") for n in range(1, 6)))
 
 
-def request_patterns(spark, sf):
+def request_patterns(spark, sf, model="knmod"):
     """Patterns of all sentences: those with unknown words are skipped in scoring only."""
-    return score.request_patterns(distinct_positions(corpus(spark, sf).sents), "knmod")
+    return score.request_patterns(distinct_positions(corpus(spark, sf).sents), model)
 
 
 def optimize_mc(spark, sf):
@@ -311,7 +328,7 @@ QUERIES = {
     "ngram_table": ngram_data,
     "allwild_totals": allwild_totals,
     "cube_counts_2": partial(cube_counts, n=2),
-    "cube_counts_3": partial(cube_counts, n=3),
+    **{f"cube_counts_{n}": partial(cube_counts, n=n) for n in (3, 4, 5)},
     "parsed_patterns": parsed_patterns,
     "pattern_counts": pattern_counts,
     "pattern_counts_n2": pattern_counts_n2,
@@ -333,11 +350,13 @@ QUERIES = {
     "bad_context": bad_context,
     "mincnt_unk": mincnt_unk,
     **{f"bits_{m}": partial(bits, model=m) for m in MODELS},
+    "bits_mincnt": bits_mincnt,
     "token_bits": token_bits,
     "cross_entropy": cross_entropy,
     "cross_entropy_by_lang": cross_entropy_by_lang,
     "verify_norm": verify_norm,
     "request_patterns": request_patterns,
+    **{f"request_patterns_{m}": partial(request_patterns, model=m) for m in MODELS if m not in ("knmod", "gbits")},
     "optimize_mc": optimize_mc,
     "headword": headwords,
     "capmatch": capmatches,

@@ -7,15 +7,8 @@ from pyspark.sql import functions as F
 
 from gramforge.functions.tokenizer import UNKNOWN
 from gramforge.operators.corpus import Corpus, known_sentences
-from gramforge.plans.features import CONTEXT, bad_contexts, distinct_positions, features, positions, stats_tables
-from gramforge.plans.smoothing import KN_MODELS, apply_layers, bits, layers
-from gramforge.session import materialize
-
-
-def scored_windows(corpus: Corpus, keep: tuple[str, ...] = ()) -> DataFrame:
-    """The written feature table of a corpus: one row for each distinct scored position, with ``times``."""
-    known = known_sentences(corpus.sents, corpus.vocab)
-    return materialize(features(distinct_positions(known, keep), stats_tables(corpus)), "features")
+from gramforge.plans.features import CONTEXT, bad_contexts, features, positions
+from gramforge.plans.smoothing import KN_MODELS, apply_layers, bits, layers, prefixed
 
 
 def with_bits(feats: DataFrame, model: str, corpus: Corpus, params: list[float] | None = None) -> DataFrame:
@@ -24,6 +17,16 @@ def with_bits(feats: DataFrame, model: str, corpus: Corpus, params: list[float]
     return scored.select("*", *(F.expr(bits(f"p{n}")).alias(f"bits_{n}") for n in range(1, 6)))
 
 
+def cross_entropies(feats: DataFrame, models: list[str], ngram_threshold: int, token_threshold: int) -> DataFrame:
+    """model, words, bits_1..bits_5 of several models, over one scan of the feature table: each model's layers have names of their own."""
+    sums = [F.coalesce(F.sum("times"), F.lit(0)).alias("words")]
+    for m in models:
+        feats = apply_layers(feats, prefixed(layers(m, None, ngram_threshold, token_threshold), f"{m}_"))
+        sums += [F.try_divide(F.sum(F.expr(bits(f"{m}_p{n}")) * F.col("times")), F.sum("times")).alias(f"{m}_{n}") for n in range(1, 6)]
+    each = F.explode(F.array(*(F.struct(F.lit(m).alias("model"), *(F.col(f"{m}_{n}").alias(f"bits_{n}") for n in range(1, 6))) for m in models))).alias("e")
+    return feats.agg(*sums).select("words", each).select("e.model", "words", *(f"e.bits_{n}" for n in range(1, 6)))
+
+
 def cross_entropy(scored: DataFrame, by: list[str] | None = None) -> DataFrame:
     """words and bits per word of each order; null over no words."""
     mean = [F.try_divide(F.sum(F.col(f"bits_{n}") * F.col("times")), F.sum("times")).alias(f"bits_{n}") for n in range(1, 6)]
@@ -60,10 +63,12 @@ def score_string(corpus: Corpus, stats: dict[str, DataFrame], text: str, model:
 
 
 def request_patterns(pos: DataFrame, model: str, order: int = 5) -> DataFrame:
-    """Distinct patterns (text) that scoring positions with a model asks for, at most ``order`` words long.
+    """Distinct patterns (text) that scoring positions with a model asks for, at most ``order`` words long (not for gbits, which asks for none).
 
     All counts are taken to be present; contexts that hold a bad token ask for nothing beyond their own counts.
     """
+    if model == "gbits":
+        raise ValueError("the older model has no patterns")
     rows = pos.select(*CONTEXT, "y", *bad_contexts())
     kn = model in KN_MODELS
     bad = "kbad" if kn else "bad"

@@ -7,6 +7,8 @@ into generated code, and tests hold it against a recursive brute force.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -154,6 +156,26 @@ def bits(p: str) -> str:
     return f"case when {p} > 0 then -log2({p}) else {_d(INFINITE_BITS)} end"
 
 
+def prefixed(steps: list[tuple[str, str]], prefix: str) -> list[tuple[str, str]]:
+    """The layers under other names, so that several models stand side by side."""
+    names = {n for n, _ in steps}
+    return [(prefix + n, re.sub(r"\b([pb][1-5])\b", lambda m: prefix + m[1] if m[1] in names else m[1], t)) for n, t in steps]
+
+
+_LITERAL = re.compile(r"cast\((-?[0-9.]+(?:e[-+]?[0-9]+)?) as double\)")
+
+
+def with_columns_for_constants(steps: list[tuple[str, str]]) -> tuple[list[tuple[str, str]], list[float]]:
+    """The layers with columns c0, c1, ... in place of their constants, and the constants: layers of one model differ in them alone."""
+    found: list[float] = []
+
+    def column(m: re.Match) -> str:
+        found.append(float(m[1]))
+        return f"c{len(found) - 1}"
+
+    return [(n, _LITERAL.sub(column, t)) for n, t in steps], found
+
+
 def apply_layers(df: DataFrame, steps: list[tuple[str, str]]) -> DataFrame:
     """Each layer as a projection of its own, so that shared values are computed once."""
     for name, text in steps:
