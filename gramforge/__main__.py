@@ -21,7 +21,7 @@ from gramforge.operators.corpus import known_sentences
 from gramforge.operators.lookup import matching_ngrams, pattern_counts
 from gramforge.plans import optimize, smoothing
 from gramforge.plans.features import distinct_positions, features, positions, stats_from_counts
-from gramforge.plans.score import request_patterns
+from gramforge.plans.score import mincnt_positions, request_patterns, string_position
 from gramforge.session import materialize, ship
 from gramforge.sources.ngram_data import WORDS, read_counts, read_ngram_files, read_vocabulary
 
@@ -50,7 +50,12 @@ def lookup(spark: SparkSession, args: argparse.Namespace) -> None:
 
 
 def model(spark: SparkSession, args: argparse.Namespace) -> None:
-    lines = spark.read.text(args.text).select(F.monotonically_increasing_id().alias("doc_id"), F.col("value").alias("text"))
+    if args.optimize:
+        optimize.dimensions(args.smoothing, args.ngram)  # an error for models without parameters
+    if not args.text and not args.string and not args.verify:
+        raise SystemExit("model: one of --text, --string and --verify is needed")
+    lines = spark.createDataFrame([], "value string") if not args.text else spark.read.text(args.text)
+    lines = lines.select(F.monotonically_increasing_id().alias("doc_id"), F.col("value").alias("text"))
     sents = materialize(sentences(lines), "sentences")
     if args.patterns:
         _print(request_patterns(distinct_positions(sents), args.smoothing, args.ngram))
@@ -60,13 +65,29 @@ def model(spark: SparkSession, args: argparse.Namespace) -> None:
     parsed = materialize(parsed, "patterns")
     stats = stats_from_counts(parsed)
     vocab = parsed.where("n = 1 and mask = 0 and n0 > 0").select(F.col("p1").alias("w1"))
+    if args.string:
+        pos = features(string_position(spark, args.string), stats)
+        cols = [F.expr(smoothing.bits(f"p{n}")).alias(f"bits_{n}") for n in range(1, args.ngram + 1)]
+        _print(smoothing.apply_layers(pos, smoothing.layers(args.smoothing, None, args.threshold, args.token_threshold)).select("y", *cols))
+        return
+    if args.verify:
+        words = args.verify.split()[-5:-1]
+        context = spark.createDataFrame([(*[None] * (4 - len(words)), *words)], "x4 string, x3 string, x2 string, x1 string")
+        row = optimize.normalization(context, vocab, stats, [args.smoothing], args.threshold, args.token_threshold).first()
+        for n in range(1, args.ngram + 1):
+            print(f"sum_{n}", row[f"sum_{n}"])
+        return
     steps = smoothing.layers(args.smoothing, None, args.threshold, args.token_threshold)
     cols = [F.expr(smoothing.bits(f"p{n}")).alias(f"bits_{n}") for n in range(1, args.ngram + 1)]
     known = known_sentences(sents, vocab)
+    scored = distinct_positions(known)
+    if args.mincnt:
+        counts_of = parsed.where("n = 1 and mask = 0 and n0 > 0").select(F.col("p1").alias("w1"), F.col("n0").alias("cnt"))
+        scored = mincnt_positions(sents, counts_of, args.mincnt)
     if args.verbose:
         each = features(positions(known, ("doc_id", "line_no")), stats)
         _print(smoothing.apply_layers(each, steps).orderBy("doc_id", "line_no", "i").select("y", *cols))
-    feats = materialize(features(distinct_positions(known), stats), "features")
+    feats = materialize(features(scored, stats), "features")
     if args.optimize:
         f = optimize.objective(feats, args.smoothing, args.ngram, args.threshold, args.token_threshold)
         search = optimize.simplex if args.optimize == "simplex" else optimize.hill_climb
@@ -108,13 +129,16 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-0", "--zero", action="store_true", help="patterns without a match, too")
     p.set_defaults(run=lookup)
     p = sub.add_parser("model")
-    p.add_argument("--text", required=True)
+    p.add_argument("--text")
     p.add_argument("--counts", help="count file: pattern, n0, n1, n2")
     p.add_argument("--smoothing", choices=smoothing.MODELS, default="knmod")
     p.add_argument("--ngram", type=int, choices=range(1, 6), default=5)
     p.add_argument("--threshold", type=int, default=40)
     p.add_argument("--token-threshold", type=int, default=200)
     p.add_argument("--patterns", action="store_true", help="print the patterns that the model asks for")
+    p.add_argument("--string", help="blank-separated words: bits of the last one, for each order")
+    p.add_argument("--verify", help="blank-separated words: sums of the probabilities of all words in place of the last one, for each order")
+    p.add_argument("--mincnt", type=int, default=0, help="words below this count are <UNK> in contexts")
     p.add_argument("--verbose", action="store_true", help="bits of each token")
     p.add_argument("--optimize", choices=["climb", "simplex"])
     p.add_argument("--start", choices=["default", "zeroes", "random"], default="default")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,6 +57,11 @@ def _features(spark: SparkSession, sf: str) -> DataFrame:
     return _once(spark, sf, "features", make)
 
 
+def shared_tables(spark: SparkSession, sf: str) -> None:
+    """Build what several queries read: the corpus, the counts, the feature table."""
+    _features(spark, sf)
+
+
 def _ngrams(spark: SparkSession, sf: str) -> DataFrame:
     return ngram_table(table(spark, sf, "ngram_files"), table(spark, sf, "vocab"))
 
@@ -271,12 +277,11 @@ def request_patterns(spark, sf, model="knmod"):
 def optimize_mc(spark, sf):
     """Hill climbing from three starts and simplex, all four parameters, until a step is below 1e-4: they end at the same bits per word."""
     f = optimize.objective(_features(spark, sf), "mc", 5, K, T)
-    rows = []
-    for kind in ("default", "zeroes", "random"):
-        x, v = optimize.hill_climb(f, optimize.start("mc", 5, kind), step=1.0)
-        rows.append(("hill climbing", kind, [round(a, 4) for a in x], round(v, 6)))
-    x, v = optimize.simplex(f, optimize.start("mc", 5))
-    rows.append(("simplex", "default", [round(a, 4) for a in x], round(v, 6)))
+    searches = [("hill climbing", kind, lambda kind=kind: optimize.hill_climb(f, optimize.start("mc", 5, kind), step=1.0)) for kind in ("default", "zeroes", "random")]
+    searches.append(("simplex", "default", lambda: optimize.simplex(f, optimize.start("mc", 5))))
+    with ThreadPoolExecutor(len(searches)) as pool:  # many small jobs, each waiting for the one before: the searches run side by side
+        ends = list(pool.map(lambda s: s[2](), searches))
+    rows = [(method, kind, [round(a, 4) for a in x], round(v, 6)) for (method, kind, _), (x, v) in zip(searches, ends)]
     return spark.createDataFrame(rows, "method string, start string, params array<double>, bits double")
 
 

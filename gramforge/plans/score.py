@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gramforge.functions.tokenizer import UNKNOWN
@@ -53,12 +53,15 @@ def mincnt_positions(sents: DataFrame, vocab: DataFrame, mincnt: int) -> DataFra
     return pos.groupBy(*CONTEXT, "y").agg(F.count("*").alias("times"))
 
 
+def string_position(spark: SparkSession, text: str) -> DataFrame:
+    """The last of some blank-separated words, after up to four before it."""
+    words = text.split()[-5:]
+    return spark.createDataFrame([(*[None] * (5 - len(words)), *words)], "x4 string, x3 string, x2 string, x1 string, y string")
+
+
 def score_string(corpus: Corpus, stats: dict[str, DataFrame], text: str, model: str) -> DataFrame:
     """Bits of the last of some blank-separated words, for each order."""
-    words = text.split()
-    spark = corpus.sents.sparkSession
-    row = [words[-5] if len(words) > 4 else None, words[-4] if len(words) > 3 else None, words[-3] if len(words) > 2 else None, words[-2] if len(words) > 1 else None, words[-1]]
-    pos = spark.createDataFrame([row], "x4 string, x3 string, x2 string, x1 string, y string")
+    pos = string_position(corpus.sents.sparkSession, text)
     return with_bits(features(pos, stats), model, corpus).select("y", *(f"bits_{n}" for n in range(1, 6)))
 
 

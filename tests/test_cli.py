@@ -48,6 +48,15 @@ def test_pipeline(spark, files, capsys, monkeypatch):
     for n in range(1, 6):
         assert float(values[f"bits_{n}"]) == pytest.approx(want[f"bits_{n}"])
     verbose = run(capsys, spark, "model", "--text", str(path / "text"), "--counts", str(path / "counts"), "--threshold", "4", "--ngram", "2", "--verbose")
+    model = ["model", "--counts", str(path / "counts"), "--threshold", "4"]
+    last = run(capsys, spark, *model, "--string", "<S> a b c")[0]
+    assert last[0] == "c" and len(last) == 6 and all(0 < float(x) < 20 for x in last[1:])
+    sums = dict(line[0].split(" ") for line in run(capsys, spark, *model, "--smoothing", "mc", "--verify", "b c a x"))
+    assert len(sums) == 5 and all(0 < float(v) <= 1.000001 for v in sums.values())
+    rare = dict(line[0].split(" ") for line in run(capsys, spark, *model, "--text", str(path / "text"), "--mincnt", "1000"))
+    assert rare["words"] == values["words"] and rare["bits_1"] == values["bits_1"] and rare["bits_2"] != values["bits_2"]
+    with pytest.raises(ValueError):
+        run(capsys, spark, *model, "--text", str(path / "text"), "--smoothing", "wbdiscount", "--optimize", "climb")
     assert len(verbose) == want["words"] + 3 and verbose[0][0] == "a"
 
 

@@ -169,7 +169,7 @@ def test_probabilities_add_up(made, spark, model):
     # the exception for </S> after a final period is the only word-dependent rule: leave such contexts out
     plain = feats.where("x4 is not null").where(" and ".join(f"not {c} in ('.', ';')" for c in CONTEXT))
     plain = plain.select(*CONTEXT).distinct().orderBy(*CONTEXT).limit(12)
-    rows = optimize.normalization(plain, words, stats_tables(corpus), model, K, T).collect()
+    rows = optimize.normalization(plain, words, stats_tables(corpus), [model], K, T).collect()
     assert rows
     for r in rows:
         for n in range(1, 6):
@@ -202,7 +202,7 @@ def test_rare_words_as_unknown(made, spark):
 def test_optimizers_agree(kind):
     """On a smooth function without Spark: every start ends at the optimum."""
     f = lambda points: [(p[0] - 3) ** 2 + 2 * (p[1] - 1.5) ** 2 + 0.5 * p[0] * p[1] for p in points]
-    x, v = optimize.hill_climb(f, optimize.start("mc", 3, kind), least=1e-5)
+    x, v = optimize.hill_climb(f, optimize.start("mc", 3, kind), least=1e-5, gain=1e-12)
     y, w = optimize.simplex(f, optimize.start("mc", 3, kind), least=1e-6)
     assert v == pytest.approx(w, abs=1e-4) and x == pytest.approx(y, abs=1e-2)
 
